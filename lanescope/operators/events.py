@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanescope.functions import count_columns, mean_columns
+from lanescope.functions import count_columns, mean_columns, present
 
 LEAF, EVENT_TYPE, TOTAL = 0, 1, 2  # levels of the lane rollup
 
@@ -22,7 +22,7 @@ def event_total(facts: DataFrame) -> DataFrame:
 
 def event_count_by_type(facts: DataFrame) -> DataFrame:
     return (
-        facts.dropna(subset=["event_type"])
+        present(facts, "event_type")
         .groupBy("event_type")
         .agg(F.count("camera_id").alias("events"))
     )
@@ -31,9 +31,10 @@ def event_count_by_type(facts: DataFrame) -> DataFrame:
 def confidence_by_type(facts: DataFrame) -> DataFrame:
     """Mean confidence of each event type that has one, and the same in percent."""
     return (
-        facts.dropna(subset=["event_type", "confidence"])
+        present(facts, "event_type")
         .groupBy("event_type")
         .agg(F.avg("confidence").alias("confidence"))
+        .where(F.col("confidence").isNotNull())
         .withColumn("percent", F.bround(F.col("confidence") * 100, 2))
     )
 
@@ -41,7 +42,7 @@ def confidence_by_type(facts: DataFrame) -> DataFrame:
 def event_count_by_camera(facts: DataFrame, event_types: Sequence[str]) -> DataFrame:
     """One row per camera, one count column per listed event type, 0 where none occurred."""
     return (
-        facts.dropna(subset=["camera_id", "event_type"])
+        present(facts, "camera_id", "event_type")
         .groupBy("camera_id")
         .agg(*count_columns("event_type", event_types))
     )
@@ -54,7 +55,7 @@ def event_frequency_by_camera(facts: DataFrame) -> DataFrame:
 
 def event_count_by_lane(facts: DataFrame) -> DataFrame:
     return (
-        facts.dropna(subset=["event_type", "zone"])
+        present(facts, "event_type", "zone")
         .groupBy("event_type", "zone")
         .agg(F.count("camera_id").alias("events"))
     )
@@ -77,8 +78,8 @@ def event_lane_rollup(facts: DataFrame) -> DataFrame:
 
 def _lanes(facts: DataFrame, point_of_view: str, event_types: Sequence[str]) -> DataFrame:
     return (
-        facts.where(F.col("zone").startswith(point_of_view))
-        .dropna(subset=["event_type"])
+        present(facts, "zone", "event_type")
+        .where(F.col("zone").startswith(point_of_view))
         .groupBy("zone")
         .agg(*count_columns("event_type", event_types))
     )
@@ -93,9 +94,18 @@ def lane_count_t2b(facts: DataFrame, event_types: Sequence[str]) -> DataFrame:
 
 
 def confidence_by_type_item(facts: DataFrame, item_types: Sequence[str]) -> DataFrame:
-    """Mean confidence per event type, one column per listed item type, NULL where none."""
+    """Mean confidence per event type, one column per listed item type, NULL where none.
+
+    Event types without any confidence are left out. That is decided after the aggregation: a
+    filter on the facts' mean would keep the camera filter of the facts from reaching the scan.
+    """
     return (
-        facts.dropna(subset=["event_type", "item_type", "confidence"])
+        present(facts, "event_type", "item_type")
         .groupBy("event_type")
-        .agg(*mean_columns("item_type", item_types, "confidence"))
+        .agg(
+            *mean_columns("item_type", item_types, "confidence"),
+            F.count("confidence").alias("_known"),
+        )
+        .where(F.col("_known") > 0)
+        .drop("_known")
     )

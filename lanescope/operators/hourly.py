@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanescope.functions import hour_label, hour_text, hours_between
+from lanescope.functions import hour_label, hour_text, hours_between, present
 from lanescope.schema import DEFAULT_WINDOW_DAYS
 
 HOUR = "datetime"
@@ -34,13 +34,14 @@ def _column(name: Column | str) -> Column:
     return F.col(name) if isinstance(name, str) else name
 
 
-def _span(observed: DataFrame) -> tuple[Column, Column]:
-    """First and last observed hour of all series, as scalar subqueries.
+def _span(observed: DataFrame) -> Column:
+    """First and last observed hour of all series, as one scalar subquery.
 
-    Spark merges the two and reuses the shuffle of ``observed``, so the facts are read once.
+    It needs what the filters of ``observed`` need, so Spark reuses the shuffle under both and the
+    facts are read once.
     """
-    bounds = observed.agg(F.min(HOUR).alias("first"), F.max(HOUR).alias("last"))
-    return bounds.select("first").scalar(), bounds.select("last").scalar()
+    bounds = F.struct(F.min(HOUR).alias("first"), F.max(HOUR).alias("last"))
+    return observed.agg(bounds.alias("span")).scalar()
 
 
 def fill_hours(observed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -51,13 +52,12 @@ def fill_hours(observed: DataFrame, keys: Sequence[str], value: str) -> DataFram
     first observation are NULL. ``gap`` marks the hours without an observation of their own.
     """
     observed = observed.where(F.col(value).isNotNull())
-    first, last = _span(observed)
     series = Window.partitionBy(*keys).orderBy(HOUR)
-    starts = F.when(F.col("_before").isNull(), first).otherwise(F.col(HOUR))
-    ends = F.coalesce(F.col("_after") - F.expr("INTERVAL 1 HOUR"), last)
+    starts = F.when(F.col("_before").isNull(), F.col("_span.first")).otherwise(F.col(HOUR))
+    ends = F.coalesce(F.col("_after") - F.expr("INTERVAL 1 HOUR"), F.col("_span.last"))
     spread = observed.select(
         *keys, HOUR, value, F.lag(HOUR).over(series).alias("_before"),
-        F.lead(HOUR).over(series).alias("_after"),
+        F.lead(HOUR).over(series).alias("_after"), _span(observed).alias("_span"),
     ).select(
         *keys, F.explode(hours_between(starts, ends)).alias("_hour"), F.col(HOUR).alias("_seen"),
         value,
@@ -76,9 +76,10 @@ def fill_counts(counts: DataFrame, key: str, value: str) -> DataFrame:
     hour missing altogether repeats the one before. ``gap`` marks the latter.
     """
     counts = counts.where(F.col(value) > 0)
-    first, last = _span(counts)
-    hours = F.explode(hours_between(first, last)).alias(HOUR)
-    grid = counts.select(key).distinct().select(key, hours)
+    hours = F.explode(hours_between(F.col("_span.first"), F.col("_span.last"))).alias(HOUR)
+    grid = (
+        counts.select(key).distinct().withColumn("_span", _span(counts)).select(key, hours)
+    )
     seen = counts.select(HOUR).distinct().withColumn("_seen", F.lit(True))
     own = F.when(F.col("_seen"), F.coalesce(F.col(value), F.lit(0)))
     upto = Window.partitionBy(key).orderBy(HOUR).rowsBetween(Window.unboundedPreceding, 0)
@@ -102,7 +103,7 @@ def rolling_mean(series: DataFrame, keys: Sequence[str], value: str, hours: int,
 def hourly_confidence(facts: DataFrame) -> DataFrame:
     """Hourly mean confidence per event type, gap-filled, then smoothed over three hours."""
     means = (
-        facts.dropna(subset=["event_type"])
+        present(facts, "event_type")
         .groupBy(HOUR, "event_type")
         .agg(F.avg("confidence").alias("confidence"))
     )
@@ -114,8 +115,8 @@ def hourly_confidence(facts: DataFrame) -> DataFrame:
 def hourly_event_count(facts: DataFrame, direction: str) -> DataFrame:
     """Hourly event counts per event type in one direction."""
     counts = (
-        facts.where(F.col("direction") == direction)
-        .dropna(subset=["event_type"])
+        present(facts, HOUR, "event_type")
+        .where(F.col("direction") == direction)
         .groupBy(HOUR, "event_type")
         .agg(F.count("*").alias("events"))
     )
@@ -124,5 +125,5 @@ def hourly_event_count(facts: DataFrame, direction: str) -> DataFrame:
 
 def hourly_los(facts: DataFrame, keys: Sequence[str] = ("destination",)) -> DataFrame:
     """Hourly mean level of service per key, gap-filled; by default one series per destination."""
-    means = facts.dropna(subset=list(keys)).groupBy(HOUR, *keys).agg(F.avg("LOS").alias("LOS"))
+    means = present(facts, *keys).groupBy(HOUR, *keys).agg(F.avg("LOS").alias("LOS"))
     return fill_hours(means, keys, "LOS")

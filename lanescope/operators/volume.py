@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanescope.functions import los_band
+from lanescope.functions import los_band, present
 from lanescope.schema import COUNTED_VEHICLES, LOS_THRESHOLDS
 
 
@@ -19,7 +19,7 @@ def volume_speed_metrics(facts: DataFrame) -> DataFrame:
         "lane_speed": lambda column: F.bround(column, 2),
         "LOS": lambda column: F.bround(column, 4),
     }
-    return facts.dropna(subset=["destination"]).groupBy("destination").agg(*[
+    return present(facts, "destination").groupBy("destination").agg(*[
         shown(how(measure)).alias(f"{prefix}_{measure}")
         for measure, shown in measures.items()
         for prefix, how in (("min", F.min), ("mean", F.avg), ("max", F.max))
@@ -33,16 +33,14 @@ def los_heat_map(facts: DataFrame, cameras: DataFrame) -> DataFrame:
     all its rows alike, so the mean does not change, and each of its places gets it.
     """
     means = (
-        facts.dropna(subset=["destination", "camera_id"])
+        present(facts, "destination", "camera_id")
         .groupBy("destination", "camera_id")
         .agg(F.avg("LOS").alias("LOS"))
-        .dropna(subset=["LOS"])
-    )
-    places = (
-        cameras.select("camera_id", "latitude", "longitude")
-        .dropna()
-        .distinct()
+        .where(F.col("LOS").isNotNull())
     )
+    places = present(
+        cameras.select("camera_id", "latitude", "longitude"), "latitude", "longitude"
+    ).distinct()
     return means.join(places, "camera_id").select(
         "destination", "camera_id", "latitude", "longitude", "LOS"
     )
@@ -62,8 +60,7 @@ def los_heat_map_scale(heat_map: DataFrame) -> DataFrame:
 def hourly_vehicle_count(facts: DataFrame) -> DataFrame:
     """Vehicles of each kind per observed hour, all cameras together."""
     return (
-        facts.dropna(subset=["datetime"])
-        .groupBy("datetime")
+        facts.groupBy("datetime")
         .agg(*[
             F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name.removesuffix("_count"))
             for name in COUNTED_VEHICLES.values()

@@ -12,6 +12,8 @@ SETTINGS = {
     # The camera table is broadcast only below this size; beyond it the joins shuffle.
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM does not compile methods above 8000 bytes; let Spark split such stages instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

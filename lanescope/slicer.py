@@ -66,8 +66,10 @@ class Slicer:
         """Keep rows of the span by a plain range on ``time``.
 
         The bare column reaches the Parquet or JDBC reader, which a formatted hour would not. A
-        lake written by day (``sources.write_by_day``) is pruned by its ``day`` column too.
+        lake written by day (``sources.write_by_day``) is pruned by its ``day`` column too. A row
+        without a time lies in no span.
         """
+        facts = facts.where(F.col("time").isNotNull())
         by_day = "day" in facts.columns
         if self.start is not None:
             facts = facts.where(F.col("time") >= _moment(self.start))

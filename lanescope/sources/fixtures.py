@@ -6,29 +6,52 @@ Every row of ``events``, ``lineitem`` and ``supplier`` becomes a row of its sour
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lanescope.schema import CAMERAS, EVENTS, VOLUMES
 from lanescope.sources.tables import conform
 
 
+# Declared, so that no read has to open files for their schema first.
+COLUMNS = {
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
+    "nation": "n_nationkey INT, n_regionkey INT",
+    "region": "r_regionkey INT, r_name STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, props STRING",
+    "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
+                   l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING,
+                   l_linestatus STRING""",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def cameras(spark: SparkSession, folder: str) -> DataFrame:
-    """One camera per supplier; the road is its region, some latitudes are missing."""
+    """One camera per supplier; the road is its region, some latitudes are missing.
+
+    The regions of the 25 nations are one small map, so that the camera table is the supplier
+    table with further columns and its size is known to the optimizer.
+    """
     supplier, nation, region = (_table(spark, folder, t) for t in ("supplier", "nation", "region"))
-    placed = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(
-        region, nation.n_regionkey == region.r_regionkey
+    road_of = (
+        nation.join(region, nation.n_regionkey == region.r_regionkey)
+        .agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "r_name"))))
+        .scalar()
+    )
+    return conform(
+        supplier.withColumn("address", road_of[F.col("s_nationkey")])
+        .selectExpr(
+            "s_suppkey AS camera_id",
+            "concat('EQ-', CAST(s_nationkey AS STRING)) AS equipment_id",
+            "address",
+            """CASE WHEN s_suppkey % 23 = 22 THEN NULL
+                    ELSE CAST(3.0 + (s_suppkey % 50) * 0.01 AS DOUBLE) END AS latitude""",
+            "CAST(101.5 + (s_suppkey % 40) * 0.01 AS DOUBLE) AS longitude",
+        ),
+        CAMERAS,
     )
-    return conform(placed.selectExpr(
-        "s_suppkey AS camera_id",
-        "concat('EQ-', CAST(s_nationkey AS STRING)) AS equipment_id",
-        "r_name AS address",
-        """CASE WHEN s_suppkey % 23 = 22 THEN NULL
-                ELSE CAST(3.0 + (s_suppkey % 50) * 0.01 AS DOUBLE) END AS latitude""",
-        "CAST(101.5 + (s_suppkey % 40) * 0.01 AS DOUBLE) AS longitude",
-    ), CAMERAS)
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,8 +96,8 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
                     THEN 1 ELSE 0 END AS INT) AS h""",
         )
         .selectExpr(
-            """TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(h + h div 10 AS INT)
-                    + INTERVAL '1' MINUTE * CAST(l_partkey % 60 AS INT) AS time""",
+            """TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(
+                    0, CAST(h * 11 div 10 AS INT), CAST(l_partkey % 60 AS INT)) AS time""",
             "l_suppkey % 25 AS camera_id",
             "CASE l_returnflag WHEN 'A' THEN 'IN' WHEN 'N' THEN 'OUT' END AS destination",
             """concat(CASE l_linestatus WHEN 'F' THEN 'b2t_' ELSE 't2b_' END,
@@ -83,7 +106,7 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
             """CAST(l_quantity AS INT)
                     * CASE WHEN vehicle_type = 'ALL' THEN 8 ELSE 1 END AS agg_count""",
             """CASE WHEN l_orderkey % 29 = 0 THEN NULL
-                    ELSE CAST(round(l_discount * 100) - 1 AS INT) * 10 END AS avg_speed""",
+                    ELSE CAST(floor(l_discount * 100 + 0.5) - 1 AS INT) * 10 END AS avg_speed""",
         ),
         VOLUMES,
     )
