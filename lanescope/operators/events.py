@@ -49,8 +49,9 @@ def event_count_by_camera(facts: DataFrame, event_types: Sequence[str]) -> DataF
 
 
 def event_frequency_by_camera(facts: DataFrame) -> DataFrame:
-    """Events per camera, the most frequent first."""
-    return facts.groupBy("camera_id").agg(F.count("*").alias("events")).orderBy(F.desc("events"))
+    """Events per camera, the most frequent first, cameras without an id together."""
+    frequency = facts.groupBy("camera_id").agg(F.count("*").alias("events"))
+    return frequency.orderBy(F.desc("events"), "camera_id")
 
 
 def event_count_by_lane(facts: DataFrame) -> DataFrame:

@@ -84,5 +84,10 @@ def volume_facts(volumes: DataFrame, cameras: DataFrame, slicer: Slicer) -> Data
 
 
 def newest_first(facts: DataFrame) -> DataFrame:
-    """Facts by hour, latest first; apply it last, right before an export."""
-    return facts.orderBy(F.desc("datetime"))
+    """Facts by hour, latest first; apply it last, right before an export.
+
+    The other keys break ties, so that one heavy hour can be sorted by several tasks.
+    """
+    ties = [c for c in ("camera_id", "address", *EVENT_KEYS, *VOLUME_KEYS) if c in facts.columns]
+    ties = [c for c in dict.fromkeys(ties) if c != "datetime"]
+    return facts.orderBy(F.desc("datetime"), *ties)

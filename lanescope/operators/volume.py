@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanescope.functions import los_band, present
+from lanescope.operators.median import exact_median
 from lanescope.schema import COUNTED_VEHICLES, LOS_THRESHOLDS
 
 
@@ -48,13 +49,13 @@ def los_heat_map(facts: DataFrame, cameras: DataFrame) -> DataFrame:
 
 def los_heat_map_scale(heat_map: DataFrame) -> DataFrame:
     """Map centre and the least, median and greatest LOS over the cameras of a destination."""
-    return heat_map.groupBy("destination").agg(
+    scale = heat_map.groupBy("destination").agg(
         F.avg("latitude").alias("center_latitude"),
         F.avg("longitude").alias("center_longitude"),
         F.min("LOS").alias("min_LOS"),
-        F.median("LOS").alias("median_LOS"),
         F.max("LOS").alias("max_LOS"),
     )
+    return scale.join(exact_median(heat_map, ["destination"], "LOS", "median_LOS"), "destination")
 
 
 def hourly_vehicle_count(facts: DataFrame) -> DataFrame:

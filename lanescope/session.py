@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot camera in the shuffle join too, where a second join on the camera follows.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # The camera table is broadcast only below this size; beyond it the joins shuffle.
     "spark.sql.autoBroadcastJoinThreshold": "10MB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+
 
 def write_csv(result: DataFrame, path: str) -> None:
     """UTF-8 CSV with a header, one file per partition, no row index."""
-    result.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    (
+        result.write.mode("overwrite")
+        .options(header=True, encoding="UTF-8", timestampNTZFormat=TIME_FORMAT)
+        .csv(path)
+    )
 
 
 def write_by_day(table: DataFrame, path: str, time: str = "time") -> None:
