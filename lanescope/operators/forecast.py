@@ -67,15 +67,15 @@ def fit_ar1(split: DataFrame, keys: Sequence[str]) -> DataFrame:
         )
     )
     usable = (F.col("n") >= 3) & (F.abs("slope") < 1)
-    sse = F.greatest(F.col("sse"), F.lit(0.0))
+    sse = F.col("sse")
     return fitted.select(
         *keys, F.lit(1).alias("p"), F.lit(0).alias("d"), "n_train", "n", "last_y",
         F.when(usable, F.col("slope")).alias("phi"),
         F.when(usable, F.col("line_intercept")).alias("intercept"),
-        F.when(usable, F.col("line_sse")).alias("sse"),
+        F.when(usable, F.greatest(F.col("line_sse"), F.lit(0.0))).alias("sse"),
     ).select(
         *keys, "p", "d", "n_train", "n", "last_y", "phi", "intercept",
-        F.sqrt(sse / (F.col("n") - 2)).alias("sigma"),
+        F.sqrt(F.try_divide(sse, F.col("n") - 2)).alias("sigma"),
         F.when(sse > 0, F.col("n") * F.log(sse / F.col("n")) + 2 * (F.col("p") + 2)).alias("aic"),
     )
 
