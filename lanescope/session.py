@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # The JVM does not compile methods above 8000 bytes; let Spark split such stages instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A dashboard runs the same few dozen plans again and again; keep their compiled stages.
+    "spark.sql.codegen.cache.maxEntries": "2000",
 }
 
 

@@ -53,7 +53,8 @@ readings AS (
         FROM lineitem)
 )"""
 
-WIDE_ROADS = "'ASIA', 'EUROPE', 'AFRICA'"
+WIDE_ROADS = "'AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'"
+SOME_ROADS = "'ASIA', 'EUROPE', 'AFRICA'"
 WIDE = (WIDE_ROADS, "'IN', 'OUT'", "")
 NARROW = (
     "'ASIA'", "'IN'",
@@ -235,8 +236,135 @@ SELECT destination, datetime + INTERVAL 1 HOUR * CAST(step AS INT), NULL,
 FROM ahead_of"""
 
 
+def _by_order() -> str:
+    """Autoregressions of order 0 to 5 by successive orthogonalisation, least AIC.
+
+    Not the normal equations: each lag is freed of the lags before it, which gives every order's
+    residual sum; coefficients follow by back-substitution and stationarity by stepping the order
+    down until a reflection coefficient leaves the unit interval.
+    """
+    lags = range(1, 6)
+    names = [f"u{k}" for k in lags]
+    steps = [f"""train_rows AS (
+  SELECT destination, position, y, avg(y) OVER p AS center,
+         y - avg(y) OVER p AS z, CAST(count(*) OVER p AS INT) AS n_train,
+         CAST(hours - count(*) OVER p AS INT) AS n_test
+  FROM split WHERE split = 'train' WINDOW p AS (PARTITION BY destination)
+), lagged AS (
+  SELECT *, {", ".join(f"lag(z, {k}) OVER w AS l{k}" for k in lags)}
+  FROM train_rows WINDOW w AS (PARTITION BY destination ORDER BY position)
+), g0 AS (
+  SELECT destination, center, count(*) OVER p AS n, sum(z * z) OVER p AS total,
+         avg(z) OVER p AS mz, {", ".join(f"avg(l{k}) OVER p AS m{k}" for k in lags)},
+         z - avg(z) OVER p AS r, {", ".join(f"l{k} - avg(l{k}) OVER p AS u{k}" for k in lags)}
+  FROM lagged WHERE l5 IS NOT NULL WINDOW p AS (PARTITION BY destination)
+)"""]
+    for k in lags:
+        later = range(k + 1, 6)
+        shares = "".join(
+            f", sum(u{j} * u{k}) OVER p / sum(u{k} * u{k}) OVER p AS s{k}{j}" for j in later
+        )
+        freed = "".join(f", u{j} - s{k}{j} * u{k} AS u{j}" for j in later)
+        dropped = ", ".join(["r", *names[k - 1:]])
+        steps.append(f"""c{k} AS (
+  SELECT *, sum(r * r) OVER p AS sse{k - 1}, sum(r * u{k}) OVER p / sum(u{k} * u{k}) OVER p AS b{k}
+         {shares}
+  FROM g{k - 1} WINDOW p AS (PARTITION BY destination)
+), g{k} AS (
+  SELECT * EXCLUDE ({dropped}), r - b{k} * u{k} AS r {freed} FROM c{k}
+)""")
+    steps.append("""sums AS (
+  SELECT DISTINCT * EXCLUDE (r), sum(r * r) OVER (PARTITION BY destination) AS sse5 FROM g5
+)""")
+    for p in range(6):
+        columns = []
+        for j in range(p, 0, -1):
+            rest = "".join(f" - s{j}{m} * f{m}" for m in range(j + 1, p + 1))
+            columns.append(f"b{j}{rest} AS f{j}")
+        current = [f"f{j}" for j in range(1, p + 1)]
+        inside = []
+        for m in range(p, 0, -1):
+            last = current[m - 1]
+            inside.append(f"abs({last}) < 1")
+            reduced = []
+            for i in range(1, m):
+                name = f"a{m - 1}_{i}"
+                columns.append(
+                    f"({current[i - 1]} + {last} * {current[m - i - 1]}) / (1 - {last} * {last})"
+                    f" AS {name}"
+                )
+                reduced.append(name)
+            current = reduced
+        solved = "".join(f", {column}" for column in columns)
+        zeros = "".join(f", CAST(NULL AS DOUBLE) AS f{j}" for j in range(p + 1, 6))
+        steps.append(f"""order{p} AS (
+  SELECT destination, {p} AS p, n, total, center, mz, {", ".join(f"m{k}" for k in lags)},
+         sse{p} AS sse {solved} {zeros}, {" AND ".join(inside) or "true"} AS inside
+  FROM sums
+)""")
+    kept = f"destination, p, n, total, center, mz, {', '.join(f'm{k}' for k in lags)}, sse, " + (
+        ", ".join(f"f{k}" for k in lags)
+    )
+    union = " UNION ALL ".join(f"SELECT {kept}, inside FROM order{p}" for p in range(6))
+    weights = " + ".join(f"coalesce(f{k}, 0)" for k in lags)
+    means = " + ".join(f"coalesce(f{k}, 0) * m{k}" for k in lags)
+    lengths = "max(n_train) AS n_train, max(n_test) AS n_test, max_by(y, position) AS last_y"
+    recent = ", ".join(
+        f"max(CASE WHEN position = n_train - {k - 1} THEN y END) AS y{k}" for k in lags
+    )
+    steps.append(f"""candidates AS (
+  SELECT *, n * ln(sse / n) + 2 * (p + 2) AS aic FROM ({union}) o
+  WHERE n >= 8 AND inside AND sse > 1e-12 * total
+), best AS (
+  SELECT * FROM candidates
+  QUALIFY row_number() OVER (PARTITION BY destination ORDER BY aic, p) = 1
+), model AS (
+  SELECT t.destination, b.p, 0 AS d, t.n_train, t.n_test, CAST(b.n AS INT) AS n, t.last_y,
+         center * (1 - ({weights})) + mz - ({means}) AS intercept,
+         sqrt(sse / (b.n - b.p - 1)) AS sigma, aic,
+         {", ".join(f"f{k} AS phi_{k}" for k in lags)}, {", ".join(f"y{k}" for k in lags)}
+  FROM (SELECT destination, {lengths}, {recent} FROM train_rows GROUP BY destination) t
+       LEFT JOIN best b ON t.destination = b.destination
+)""")
+    phi = [f"coalesce(phi_{k}, {'CASE WHEN p IS NULL THEN 1 ELSE 0 END' if k == 1 else 0})" for k in lags]
+    start = " + ".join(f"{phi[k - 1]} * coalesce(y{k}, 0)" for k in lags)
+    on = " + ".join(f"f{k} * v{k}" for k in lags)
+    shock = " + ".join(f"f{k} * w{k}" for k in lags)
+    carried = "destination, n_train, n_test, sigma, c, " + ", ".join(f"f{k}" for k in lags)
+    steps.append(f"""path AS (
+  SELECT destination, n_train, n_test, sigma, coalesce(intercept, 0) AS c,
+         {", ".join(f"{phi[k - 1]} AS f{k}" for k in lags)}, 1 AS ahead,
+         coalesce(intercept, 0) + {start} AS v1,
+         {", ".join(f"y{k - 1} AS v{k}" for k in range(2, 6))},
+         CAST(1 AS DOUBLE) AS w1, {", ".join(f"CAST(0 AS DOUBLE) AS w{k}" for k in range(2, 6))},
+         CAST(1 AS DOUBLE) AS variance
+  FROM model
+  UNION ALL
+  SELECT {carried}, ahead + 1, c + {on}, {", ".join(f"v{k}" for k in range(1, 5))},
+         {shock}, {", ".join(f"w{k}" for k in range(1, 5))}, variance + ({shock}) * ({shock})
+  FROM path WHERE ahead < n_test + 24
+), predicted AS (
+  SELECT destination, n_train + ahead AS position, v1 AS prediction,
+         1.6448536269514722 * sigma * sqrt(variance) AS half
+  FROM path
+), backtest AS (
+  SELECT s.destination, s.datetime, CASE WHEN split = 'train' THEN y END AS training_data,
+         CASE WHEN split = 'test' THEN y END AS test_data, prediction,
+         prediction - half AS lower, prediction + half AS upper
+  FROM split s LEFT JOIN predicted a ON s.destination = a.destination AND s.position = a.position
+)""")
+    return SPLIT.replace("WITH", "WITH RECURSIVE", 1) + ", " + ", ".join(steps)
+
+
+SCORES = """
+SELECT destination, count(*) AS n_test,
+       avg(abs(test_data - prediction) / greatest(abs(test_data), 2.220446049250313e-16)) AS mape,
+       sqrt(avg((test_data - prediction) * (test_data - prediction))) AS rmse
+FROM backtest WHERE test_data IS NOT NULL GROUP BY destination"""
+
+
 def oracle_sql() -> dict[str, str]:
-    events, volumes = _event_facts(), _volume_facts()
+    events, volumes, by_order = _event_facts(), _volume_facts(), _by_order()
     item_means = ", ".join(
         f"avg(confidence) FILTER (item_type = '{kind}') AS {kind}" for kind in ITEM_TYPES
     )
@@ -267,7 +395,7 @@ SELECT datetime, strftime(datetime, '%Y-%m-%d %H:00:00') AS hour_text,
 FROM (SELECT unnest(generate_series(date_trunc('hour', max(ts)) - INTERVAL 2 DAYS,
                                     date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS datetime
       FROM events)""",
-        "cameras_on_roads": f"WITH {CAMERAS} SELECT * FROM cameras WHERE address IN ({WIDE_ROADS})",
+        "cameras_on_roads": f"WITH {CAMERAS} SELECT * FROM cameras WHERE address IN ({SOME_ROADS})",
         "cameras_by_id": f"WITH {CAMERAS} SELECT * FROM cameras WHERE camera_id IN (2, 3, 5, 7)",
         "event_facts": f"{events} SELECT * FROM facts ORDER BY datetime DESC",
         "event_facts_one_road": f"{_event_facts(NARROW)} SELECT * FROM facts ORDER BY datetime DESC",
@@ -345,9 +473,20 @@ SELECT datetime, destination, "LOS", CAST({band} AS INT) AS band FROM hourly""",
         "los_model": f"{MODEL} SELECT * FROM model",
         "los_backtest": f"{BACKTEST} SELECT * FROM backtest",
         "los_forecast": FORECAST,
-        "los_scores": f"""{BACKTEST}
-SELECT destination, count(*) AS n_test,
-       avg(abs(test_data - prediction) / greatest(abs(test_data), 2.220446049250313e-16)) AS mape,
-       sqrt(avg((test_data - prediction) * (test_data - prediction))) AS rmse
-FROM backtest WHERE test_data IS NOT NULL GROUP BY destination""",
+        "los_scores": f"{BACKTEST} {SCORES}",
+        "los_model_by_order": f"""{by_order}
+SELECT destination, p, d, n_train, n_test, n, last_y, intercept, sigma, aic, phi_1, phi_2, phi_3,
+       phi_4, phi_5
+FROM model""",
+        "los_backtest_by_order": f"{by_order} SELECT * FROM backtest",
+        "los_forecast_by_order": f"""{by_order}
+SELECT destination, datetime, y AS observed, CAST(NULL AS DOUBLE) AS forecast,
+       CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper
+FROM split
+UNION ALL
+SELECT a.destination, s.datetime + INTERVAL 1 HOUR * CAST(a.position - s.hours AS INT), NULL,
+       prediction, prediction - half, prediction + half
+FROM predicted a JOIN split s ON a.destination = s.destination AND s.position = s.hours
+WHERE a.position > s.hours""",
+        "los_scores_by_order": f"{by_order} {SCORES}",
     }
