@@ -68,7 +68,10 @@ def test_fill_equals_pandas(spark, cells):
     frame = pd.DataFrame(data, columns=["datetime", "k", "y"]).dropna()
     expected = frame.pivot(index="datetime", columns="k", values="y").asfreq("h").ffill()
     assert ours.index.tolist() == expected.index.tolist()
-    pd.testing.assert_frame_equal(ours, expected, check_freq=False, check_names=False, check_index_type=False, check_dtype=False)
+    pd.testing.assert_frame_equal(
+        ours, expected, check_freq=False, check_names=False, check_index_type=False,
+        check_dtype=False,
+    )
 
 
 @pytest.fixture(scope="module")
