@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lanescope.llm import decontamination
+from lanescope.llm import byte_pairs, decontamination, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs, benchmark = (table(spark, folder, name) for name in ("documents", "benchmark"))
     return decontamination.contamination(
@@ -22,6 +27,11 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_pairs.digests(table(spark, folder, "documents"), path, keep=("doc_id",))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = rf"""
@@ -60,7 +70,9 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN own USING (doc_id)
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_simhash": op2_simhash,
         "op3_decontamination": op3_decontamination,
+        "op7_byte_pairs": op7_byte_pairs,
     }
 
 

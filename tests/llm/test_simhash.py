@@ -1,0 +1,124 @@
+"""SimHash near-duplicates against a plain restatement of the rules and all pairs."""
+
+from __future__ import annotations
+
+import re
+
+import numpy as np
+import pytest
+import xxhash
+
+from lanescope.llm import queries, simhash
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plain_fingerprint(text: str | None) -> int:
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain(rows: list[tuple]) -> list[tuple]:
+    prints = [plain_fingerprint(text) for _, text in rows]
+    component = list(range(len(rows)))
+
+    def root(i):
+        while component[i] != i:
+            i = component[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 3:
+                component[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        if doc is not None:
+            least[root(i)] = min(doc, least.get(root(i), doc))
+    found = [(doc, f"{prints[i]:016x}", least.get(root(i))) for i, (doc, _) in enumerate(rows)]
+    return sorted(found, key=str)
+
+
+def collected(frame) -> list[tuple]:
+    return sorted(((r.doc_id, r.fingerprint, r.component_id) for r in frame.collect()), key=str)
+
+
+def test_query_equals_all_pairs(spark):
+    docs = queries.table(spark, SMALL, "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert collected(queries.op2_simhash(spark, SMALL)) == plain(rows)
+
+
+EDGE = [
+    (1, None), (2, ""), (3, " \t\n"), (4, "One"), (5, "one"), (6, "a b"), (7, "A  B\n"),
+    (8, "é À É b"), (9, "x " * 700), (10, "w" * 5000), (None, "one"), (None, "alone here"),
+    (12, "same row here"), (12, "same row here"), (13, " nbsp word is one word"),
+]
+
+
+def test_edge_cases(spark):
+    docs = spark.createDataFrame([(*r, "x", 0) for r in EDGE], "doc_id long, text string, fingerprint string, component_id int")
+    assert collected(simhash.near_duplicates(docs)) == plain(EDGE)
+    kept = simhash.deduplicate(docs)
+    assert kept.columns == docs.columns
+    # One of each component: empties, "one", "a b", and each of the others.
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    expected = {c if c is not None else None for _, _, c in plain(EDGE)}
+    assert set(ids) == expected and len(ids) == len(expected)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert simhash.near_duplicates(docs).collect() == []
+    assert simhash.deduplicate(docs).collect() == []
+
+
+def test_every_linked_pair_shares_a_posting_list():
+    random = np.random.default_rng(5)
+    masks = np.array(simhash._masks(), np.int64).view(np.uint64)
+    for _ in range(300):
+        a = random.integers(0, 2**64, dtype=np.uint64)
+        b = a
+        for bit in random.choice(64, random.integers(0, 4), replace=False):
+            b ^= np.uint64(1) << np.uint64(bit)
+        assert ((a & masks) == (b & masks)).any()
+        assert simhash.shared_bytes(np.array([a]), np.array([b]))[0] >= simhash.MIN_SHARED
+
+
+@pytest.mark.parametrize("size", [40, 700])
+def test_long_lists_are_linked_like_short_ones(size):
+    random = np.random.default_rng(size)
+    base = random.integers(0, 2**64, dtype=np.uint64) & ~np.uint64(0xFFFFFF)
+    values = np.unique(base | random.integers(0, 2**12, size, dtype=np.uint64))
+    short = simhash._pairs_of_short(values, np.array([0]), np.array([len(values)]))
+    long = simhash._stars_of_long(values)
+
+    def classes(pairs):
+        parent = {v: v for v in values.tolist()}
+
+        def root(v):
+            while parent[v] != v:
+                v = parent[v]
+            return v
+
+        for a, b in zip(*(x.tolist() for x in pairs)):
+            parent[root(a)] = root(b)
+        groups = {}
+        for v in values.tolist():
+            groups.setdefault(root(v), set()).add(v)
+        return sorted(map(sorted, groups.values()))
+
+    assert classes(short) == classes(long)
+
+
+def test_chain_and_hub_components(spark):
+    from lanescope.llm.components import components
+
+    chain = [(i, i + 1) for i in range(40)]
+    hub = [(100, 100 + i) for i in range(1, 60)] + [(150, 100), (7, 7)]
+    frame = spark.createDataFrame(chain + hub, "a long, b long")
+    found = {r.node: r.component for r in components(frame).collect()}
+    assert found == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 160)}
