@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lanescope.llm import byte_pairs, decontamination, simhash
+from lanescope.llm import byte_pairs, chat, decontamination, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,17 @@ def op7_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return byte_pairs.digests(table(spark, folder, "documents"), path, keep=("doc_id",))
 
 
+def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(r"\### Assistant: </turn> ok").alias("text"),
+    )
+    trees = chat.linear_trees(given.unionByName(planted))
+    return chat.digests(chat.conversations(trees))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = rf"""
@@ -68,15 +80,40 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
+OP10_SQL = r"""
+WITH turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok'
+    FROM range(2) t(i)
+), written AS (
+    SELECT *, coalesce(role, '') AS who,
+           length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) AS size
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(who || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+           AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (who = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text)
+           FILTER (who = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(4 + length(who) + length(regexp_replace(who, '[^\\#<:]', '', 'g')) + 2
+           + size + 8) AS BIGINT) AS formatted_chars
+FROM written GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_simhash": op2_simhash,
         "op3_decontamination": op3_decontamination,
         "op7_byte_pairs": op7_byte_pairs,
+        "op10_chat": op10_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": OP3_SQL,
+        "op10_chat": OP10_SQL,
     }
