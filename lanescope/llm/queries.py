@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanescope.llm import byte_pairs, chat, decontamination, simhash
+from lanescope.llm import byte_pairs, chat, decontamination, simhash, token_files, topk
+from lanescope.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,11 +29,23 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_pairs.digests(table(spark, folder, "documents"), path, keep=("doc_id",))
 
 
+def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark)
+    token_files.write(
+        table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), path
+    )
+    return token_files.digests(token_files.read(spark, path))
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
@@ -80,6 +93,23 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
+OP6_SQL = """
+WITH whole AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id,
+           CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+    FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+      FROM scored)
+WHERE rank <= 5
+"""
+
 OP10_SQL = r"""
 WITH turns AS (
     SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -107,7 +137,9 @@ def queries() -> dict[str, Query]:
     return {
         "op2_simhash": op2_simhash,
         "op3_decontamination": op3_decontamination,
+        "op6_topk": op6_topk,
         "op7_byte_pairs": op7_byte_pairs,
+        "op8_token_files": op8_token_files,
         "op10_chat": op10_chat,
     }
 
@@ -115,5 +147,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_decontamination": OP3_SQL,
+        "op6_topk": OP6_SQL,
         "op10_chat": OP10_SQL,
     }
