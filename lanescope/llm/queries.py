@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanescope.llm import byte_pairs, chat, decontamination, simhash, token_files, topk
+from lanescope.llm import byte_pairs, chat, decontamination, simhash, token_files, topk, toxicity
 from lanescope.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels)
+    scored = toxicity.scored(docs, model, keep=["doc_id", "lang"])
+    return scored.select(
+        "doc_id",
+        (~toxicity.learnable(F.col("doc_id"))).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.SCORE_AT).cast("int").alias("predicted"),
+        (F.col("score") >= toxicity.threshold(model, F.col("lang"))).alias("rejected"),
+    )
+
+
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -135,6 +148,7 @@ FROM written GROUP BY conv_id
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
         "op3_decontamination": op3_decontamination,
         "op6_topk": op6_topk,
