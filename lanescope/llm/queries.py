@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanescope.llm import byte_pairs, chat, decontamination, language_model, simhash, token_files, topk, toxicity
+from lanescope.llm import byte_pairs, chat, decontamination, language_model, simhash, token_files, topk, toxicity, weak_labels
 from lanescope.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.digests(token_files.read(spark, path))
 
 
+def op9_weak_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_labels.classified(table(spark, folder, "documents"), keep=["doc_id"])
+
+
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
@@ -159,6 +163,7 @@ def queries() -> dict[str, Query]:
         "op6_topk": op6_topk,
         "op7_byte_pairs": op7_byte_pairs,
         "op8_token_files": op8_token_files,
+        "op9_weak_labels": op9_weak_labels,
         "op10_chat": op10_chat,
     }
 
