@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanescope.llm import byte_pairs, chat, decontamination, language_model, simhash, token_files, topk, toxicity, weak_labels
+from lanescope.llm import byte_pairs, chat, decontamination, language_model, passages, simhash, token_files, topk, toxicity, weak_labels
 from lanescope.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,10 @@ def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.classes(table(spark, folder, "documents"))
+
+
 def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
     return language_model.scores(table(spark, folder, "documents"))
 
@@ -159,6 +163,7 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
         "op3_decontamination": op3_decontamination,
+        "op4_passages": op4_passages,
         "op5_language_model": op5_language_model,
         "op6_topk": op6_topk,
         "op7_byte_pairs": op7_byte_pairs,
