@@ -242,8 +242,10 @@ class Scorer:
     bias: float
 
     def scores(self, words: Words) -> np.ndarray:
-        total = _sums(self.weights[features(words)].sum(axis=1), words.first)
         counts = np.diff(words.first)
+        text = np.repeat(np.arange(len(counts)), counts)
+        # Added up text by text, so that neighbours don't change a rounding.
+        total = np.bincount(text, self.weights[features(words)].sum(axis=1), len(counts))
         logits = np.where(counts > 0, total / np.maximum(counts, 1), 0) + self.bias
         return np.where(counts > 0, 1 / (1 + np.exp(-np.clip(logits, -30, 30))), 0.0)
 
