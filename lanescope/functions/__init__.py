@@ -1,5 +1,5 @@
 from lanescope.functions.confidence import detection_confidence
-from lanescope.functions.crosstab import count_columns, mean_columns
+from lanescope.functions.crosstab import complete_counts, widen
 from lanescope.functions.hours import hour_label, hour_of, hour_text, hours_between
 from lanescope.functions.keys import present
 from lanescope.functions.traffic import (
@@ -13,7 +13,7 @@ from lanescope.functions.traffic import (
 )
 
 __all__ = [
-    "count_columns", "detection_confidence", "hour_label", "hour_of", "hour_text",
-    "hours_between", "lane_speed", "level_of_service", "los_band", "mean_columns",
+    "complete_counts", "detection_confidence", "hour_label", "hour_of", "hour_text",
+    "hours_between", "lane_speed", "level_of_service", "los_band", "widen",
     "measured_zone", "motor_speed", "point_of_view", "present", "vehicles",
 ]

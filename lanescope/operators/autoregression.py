@@ -23,13 +23,14 @@ from pyspark.sql.types import (
     IntegerType,
     StructField,
     StructType,
+    TimestampNTZType,
 )
 
 from lanescope.operators.forecast import (
+    TIME,
     TRAIN,
     _backtest_columns,
     _forecast_columns,
-    _with_future,
 )
 from lanescope.schema import NORMAL_90
 
@@ -62,6 +63,7 @@ def _moments(split: DataFrame, keys: Sequence[str], max_p: int, d: int) -> DataF
         F.first("n_train").alias("n_train"),
         F.first(F.col("hours") - F.col("n_train")).alias("n_test"),
         F.max_by("y", "position").alias("last_y"),
+        F.max(TIME).alias("last_time"),
         F.first("center").alias("center"),
         F.array(*sums).alias("moments"),
         # At most max_p + d values, oldest first.
@@ -94,6 +96,7 @@ def fit_ar(split: DataFrame, keys: Sequence[str], max_p: int = MAX_P, d: int = 0
         StructField("sigma", DoubleType()),
         StructField("aic", DoubleType()),
         StructField("tail", ArrayType(DoubleType())),
+        StructField("last_time", TimestampNTZType()),
     ])
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,33 +164,42 @@ def _stationary(phi: np.ndarray) -> np.ndarray:
     return np.abs(np.linalg.eigvals(companion)).max(axis=1) < 1
 
 
-def _paths(model: DataFrame, keys: Sequence[str], extra: int) -> DataFrame:
-    """Predictions for every hour after training: the test hours and ``extra`` more."""
+def _paths(model: DataFrame, keys: Sequence[str], extra: int = 0) -> DataFrame:
+    """Predictions of the test hours or, with ``extra``, of so many hours after them only.
+
+    ``_at`` is the hour's position in its series, ``_time`` the hour itself.
+    """
     keys = list(keys)
     schema = StructType([
         *model.select(*keys).schema,
         StructField("_at", IntegerType()),
+        StructField("_time", TimestampNTZType()),
         StructField("_path", DoubleType()),
         StructField("_half", DoubleType()),
     ])
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            reach = batch["n_test"].to_numpy() + extra
+            tested = batch["n_test"].to_numpy()
+            reach = tested + extra
+            skipped = tested if extra else np.zeros_like(tested)
             # Series of similar reach go together; a chunk's table stays below CHUNK cells.
             order, start = np.argsort(-reach, kind="stable"), 0
             while start < len(order) and reach[order[start]] > 0:
                 rows = max(1, CHUNK // int(reach[order[start]]))
                 chosen = order[start : start + rows]
-                yield _predict(batch.iloc[chosen], reach[chosen], keys)
+                yield _predict(batch.iloc[chosen], skipped[chosen], reach[chosen], keys)
                 start += rows
 
-    columns = [*keys, "d", "n_train", "n_test", "last_y", "phi", "intercept", "sigma", "tail"]
+    columns = [*keys, "d", "n_train", "n_test", "last_y", "phi", "intercept", "sigma", "tail",
+               "last_time"]
     return model.select(*columns).mapInPandas(predict, schema)
 
 
-def _predict(batch: pd.DataFrame, reach: np.ndarray, keys: list[str]) -> pd.DataFrame:
-    """Run the recursion for all series of the batch at once; one output row per hour ahead."""
+def _predict(
+    batch: pd.DataFrame, skipped: np.ndarray, reach: np.ndarray, keys: list[str]
+) -> pd.DataFrame:
+    """Run the recursion for all series at once; a row per hour ahead, beyond those skipped."""
     count, steps = len(batch), int(reach.max())
     found = batch["phi"].notna().to_numpy()
     weights = [
@@ -214,11 +226,15 @@ def _predict(batch: pd.DataFrame, reach: np.ndarray, keys: list[str]) -> pd.Data
     sigma = np.where(found, batch["sigma"].to_numpy(dtype=float), np.nan)
     half = NORMAL_90 * sigma[:, None] * spread
     ahead = np.arange(1, steps + 1)
-    wanted = ahead[None, :] <= reach[:, None]
-    rows = np.repeat(np.arange(count), reach)
+    wanted = (ahead[None, :] <= reach[:, None]) & (ahead[None, :] > skipped[:, None])
+    rows = np.repeat(np.arange(count), reach - skipped)
     out = batch[keys].iloc[rows].reset_index(drop=True)
     at = batch["n_train"].to_numpy()[:, None] + ahead[None, :]
-    return out.assign(_at=at[wanted], _path=path[wanted], _half=half[wanted])
+    hours = (ahead * np.timedelta64(1, "h"))[None, :]
+    time = batch["last_time"].to_numpy(dtype="datetime64[ns]")[:, None] + hours
+    return out.assign(
+        _at=at[wanted], _time=time[wanted], _path=path[wanted], _half=half[wanted]
+    )
 
 
 def _on_levels(phi: Sequence[float], d: int) -> np.ndarray:
@@ -229,21 +245,37 @@ def _on_levels(phi: Sequence[float], d: int) -> np.ndarray:
     return -polynomial[1:] if len(polynomial) > 1 else np.array([0.0])
 
 
-def _with_path(rows: DataFrame, model: DataFrame, keys: Sequence[str], extra: int) -> DataFrame:
-    paths = _paths(model, keys, extra)
-    return rows.join(paths, [*keys, "_at"], "left").withColumns({
+def _bounds(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({
         "_lower": F.col("_path") - F.col("_half"), "_upper": F.col("_path") + F.col("_half"),
     })
 
 
+def _without_path(rows: DataFrame) -> DataFrame:
+    nothing = F.lit(None).cast("double")
+    return rows.withColumns({"_path": nothing, "_half": nothing})
+
+
 def backtest_ar(split: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Training data, test data and prediction side by side, one row per hour of each series."""
-    rows = split.withColumn("_at", F.col("position"))
-    return _backtest_columns(_with_path(rows, model, keys, 0), keys)
+    """Training data, test data and prediction side by side, one row per hour of each series.
+
+    Only test hours are joined with predictions; training hours have none.
+    """
+    names = [*keys, TIME, "y", "split", "_path", "_half"]
+    tested = split.where(F.col("split") != TRAIN).withColumn("_at", F.col("position"))
+    tested = tested.join(_paths(model, keys).drop("_time"), [*keys, "_at"], "left")
+    trained = _without_path(split.where(F.col("split") == TRAIN))
+    return _backtest_columns(_bounds(trained.select(*names).union(tested.select(*names))), keys)
 
 
 def forecast_ar(split: DataFrame, model: DataFrame, keys: Sequence[str], hours: int) -> DataFrame:
-    """Observations, then ``hours`` forecast hours after the last one, without a refit."""
-    ahead = F.when(F.col("step") > 0, F.col("position") + F.col("step"))
-    rows = _with_future(split, hours).withColumn("_at", ahead)
-    return _forecast_columns(_with_path(rows, model, keys, hours), keys)
+    """Observations, then ``hours`` forecast hours after the last one, without a refit.
+
+    The model knows where a series ends, so that nothing is joined: the forecast hours are appended.
+    """
+    names = [*keys, TIME, "y", "step", "_path", "_half"]
+    seen = _without_path(split).withColumn("step", F.lit(0)).select(*names)
+    ahead = _paths(model, keys, hours).withColumns({
+        TIME: F.col("_time"), "y": F.lit(None).cast("double"), "step": F.lit(0),
+    })
+    return _forecast_columns(_bounds(seen.union(ahead.select(*names))), keys)

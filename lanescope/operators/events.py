@@ -6,12 +6,10 @@ but for the camera frequency, which keeps cameras without an id.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanescope.functions import count_columns, mean_columns, present
+from lanescope.functions import complete_counts, present
 
 LEAF, EVENT_TYPE, TOTAL = 0, 1, 2  # levels of the lane rollup
 
@@ -39,13 +37,9 @@ def confidence_by_type(facts: DataFrame) -> DataFrame:
     )
 
 
-def event_count_by_camera(facts: DataFrame, event_types: Sequence[str]) -> DataFrame:
-    """One row per camera, one count column per listed event type, 0 where none occurred."""
-    return (
-        present(facts, "camera_id", "event_type")
-        .groupBy("camera_id")
-        .agg(*count_columns("event_type", event_types))
-    )
+def event_count_by_camera(facts: DataFrame) -> DataFrame:
+    """Every camera with every event type that occurs, 0 where it has none."""
+    return complete_counts(present(facts, "camera_id", "event_type"), "camera_id", "event_type")
 
 
 def event_frequency_by_camera(facts: DataFrame) -> DataFrame:
@@ -77,36 +71,30 @@ def event_lane_rollup(facts: DataFrame) -> DataFrame:
     )
 
 
-def _lanes(facts: DataFrame, point_of_view: str, event_types: Sequence[str]) -> DataFrame:
-    return (
-        present(facts, "zone", "event_type")
-        .where(F.col("zone").startswith(point_of_view))
-        .groupBy("zone")
-        .agg(*count_columns("event_type", event_types))
-    )
+def _lanes(facts: DataFrame, point_of_view: str) -> DataFrame:
+    lanes = present(facts, "zone", "event_type").where(F.col("zone").startswith(point_of_view))
+    return complete_counts(lanes, "zone", "event_type")
 
 
-def lane_count_b2t(facts: DataFrame, event_types: Sequence[str]) -> DataFrame:
-    return _lanes(facts, "b2t", event_types).orderBy(F.desc("zone"))
+def lane_count_b2t(facts: DataFrame) -> DataFrame:
+    """Every lane seen from bottom to top with every event type that occurs on such lanes."""
+    return _lanes(facts, "b2t").orderBy(F.desc("zone"), "event_type")
 
 
-def lane_count_t2b(facts: DataFrame, event_types: Sequence[str]) -> DataFrame:
-    return _lanes(facts, "t2b", event_types).orderBy("zone")
+def lane_count_t2b(facts: DataFrame) -> DataFrame:
+    return _lanes(facts, "t2b").orderBy("zone", "event_type")
 
 
-def confidence_by_type_item(facts: DataFrame, item_types: Sequence[str]) -> DataFrame:
-    """Mean confidence per event type, one column per listed item type, NULL where none.
+def confidence_by_type_item(facts: DataFrame) -> DataFrame:
+    """Mean confidence of each event type and item type that has one, and the same in percent.
 
-    Event types without any confidence are left out. That is decided after the aggregation: a
-    filter on the facts' mean would keep the camera filter of the facts from reaching the scan.
+    What has none is dropped after the aggregation: a filter on the facts' mean would keep the
+    camera filter of the facts from reaching the scan.
     """
     return (
         present(facts, "event_type", "item_type")
-        .groupBy("event_type")
-        .agg(
-            *mean_columns("item_type", item_types, "confidence"),
-            F.count("confidence").alias("_known"),
-        )
-        .where(F.col("_known") > 0)
-        .drop("_known")
+        .groupBy("event_type", "item_type")
+        .agg(F.avg("confidence").alias("confidence"))
+        .where(F.col("confidence").isNotNull())
+        .withColumn("percent", F.bround(F.col("confidence") * 100, 2))
     )

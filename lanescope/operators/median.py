@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Ranks of an approximate percentile are off by at most 1/ACCURACY of the group, so that the true
@@ -13,6 +13,14 @@ ACCURACY = 10_000
 BRACKET = (0.499, 0.501)
 
 
+def bracket_of(value: str) -> list[Column]:
+    """Aggregates that ``median_within`` needs of each group, to go with others of one pass."""
+    return [
+        F.percentile_approx(value, list(BRACKET), ACCURACY).alias("_bracket"),
+        F.count(value).alias("_n"),
+    ]
+
+
 def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
     """One row per key with the median of ``value``, the mean of the middle two for an even count.
 
@@ -20,15 +28,20 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) ->
     bracket the median first; values below and above the bracket are only counted, on the map
     side, and equal values are counted together, so a small share of the group is ever sorted.
     """
+    rows = rows.where(F.col(value).isNotNull())
+    summary = rows.groupBy(*keys).agg(*bracket_of(value))
+    return median_within(rows, summary, keys, value, name)
+
+
+def median_within(
+    rows: DataFrame, summary: DataFrame, keys: Sequence[str], value: str, name: str
+) -> DataFrame:
+    """The median by the brackets in ``summary``; an error where a bracket misses the middle."""
     keys = list(keys)
-    rows = rows.select(*keys, value).where(F.col(value).isNotNull())
-    bracket = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, list(BRACKET), ACCURACY).alias("_bracket"),
-        F.count("*").alias("_n"),
-    )
     below, above = F.col(value) < F.col("_bracket")[0], F.col(value) > F.col("_bracket")[1]
     counted = (
-        rows.join(bracket, keys)
+        rows.select(*keys, value).where(F.col(value).isNotNull())
+        .join(summary.select(*keys, "_bracket", "_n"), keys)
         .select(
             *keys, "_n",
             F.when(below, -1).when(above, 1).otherwise(0).alias("_side"),
@@ -43,11 +56,16 @@ def exact_median(rows: DataFrame, keys: Sequence[str], value: str, name: str) ->
     )
     ranked = counted.withColumn("_rank", F.sum("_count").over(upto))
     lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    return ranked.groupBy(*keys).agg(
-        (
-            (
-                F.min(F.when(F.col("_rank") >= lower, F.col("_value")))
-                + F.min(F.when(F.col("_rank") >= upper, F.col("_value")))
-            ) / 2
-        ).alias(name)
+    inside = F.col("_side") == 0
+    middle = ranked.groupBy(*keys).agg(
+        F.max(lower).alias("_lower"), F.max(upper).alias("_upper"),
+        F.coalesce(F.sum(F.when(F.col("_side") < 0, F.col("_count"))), F.lit(0)).alias("_below"),
+        F.coalesce(F.sum(F.when(inside, F.col("_count"))), F.lit(0)).alias("_inside"),
+        F.min(F.when(inside & (F.col("_rank") >= lower), F.col("_value"))).alias("_first"),
+        F.min(F.when(inside & (F.col("_rank") >= upper), F.col("_value"))).alias("_second"),
+    )
+    hit = (F.col("_below") < F.col("_lower")) & (F.col("_upper") <= F.col("_below") + F.col("_inside"))
+    missed = F.raise_error(F.lit("the approximate percentiles do not bracket the median"))
+    return middle.select(
+        *keys, F.when(hit, (F.col("_first") + F.col("_second")) / 2).otherwise(missed).alias(name)
     )

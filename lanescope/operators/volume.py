@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanescope.functions import los_band, present
-from lanescope.operators.median import exact_median
+from lanescope.operators.median import bracket_of, median_within
 from lanescope.schema import COUNTED_VEHICLES, LOS_THRESHOLDS
 
 
@@ -54,8 +54,10 @@ def los_heat_map_scale(heat_map: DataFrame) -> DataFrame:
         F.avg("longitude").alias("center_longitude"),
         F.min("LOS").alias("min_LOS"),
         F.max("LOS").alias("max_LOS"),
+        *bracket_of("LOS"),
     )
-    return scale.join(exact_median(heat_map, ["destination"], "LOS", "median_LOS"), "destination")
+    medians = median_within(heat_map, scale, ["destination"], "LOS", "median_LOS")
+    return scale.drop("_bracket", "_n").join(medians, "destination")
 
 
 def hourly_vehicle_count(facts: DataFrame) -> DataFrame:

@@ -2,12 +2,11 @@ from lanescope.plans.dashboards import (
     event_dashboard,
     export,
     forecast_dashboard,
-    listed_values,
     settle,
     volume_dashboard,
 )
 
 __all__ = [
-    "event_dashboard", "export", "forecast_dashboard", "listed_values", "settle",
+    "event_dashboard", "export", "forecast_dashboard", "settle",
     "volume_dashboard",
 ]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from lanescope.operators import autoregression, events, facts, forecast, hourly, volume
 from lanescope.slicer import Slicer
@@ -13,8 +14,6 @@ from lanescope.sources.export import write_csv
 
 Results = dict[str, DataFrame]
 
-MAX_COLUMNS = 200  # widest cross-tab; more values are an error, never cut off
-
 # The file names of the exports.
 EXPORTS = {
     "event_facts": "event_raw_data.csv",
@@ -24,37 +23,27 @@ EXPORTS = {
 }
 
 
-def settle(table: DataFrame) -> DataFrame:
-    """Compute a table that several results share once.
+def settle(table: DataFrame, scratch: str | None = None) -> DataFrame:
+    """Compute a table that several results share once: write it as Parquet and read it back.
 
-    With ``spark.checkpoint.dir`` set it is written to that shared folder, so a lost executor
-    costs nothing that is already there. Without it the table is cached and, where a cached part
-    is lost, computed again.
+    A lost executor costs nothing that is already there, and later results still read only their
+    columns and rows. ``scratch`` is a folder on storage that the whole cluster shares, by default
+    the session's ``spark.checkpoint.dir``; where that is unset too, as on one machine, a temporary
+    folder.
     """
-    if table.sparkSession.sparkContext.getCheckpointDir() is None:
-        return table.persist()
-    return table.checkpoint()
-
-
-def listed_values(table: DataFrame, column: str) -> list:
-    """The distinct values of a column with few of them, for the columns of a cross-tab."""
-    values = (
-        table.select(column).where(F.col(column).isNotNull()).distinct()
-        .limit(MAX_COLUMNS + 1).collect()
-    )
-    if len(values) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} values of {column}: use the long form")
-    return sorted(row[0] for row in values)
+    spark = table.sparkSession
+    scratch = scratch or spark.conf.get("spark.checkpoint.dir", None)
+    scratch = scratch or "file://" + tempfile.mkdtemp(prefix="lanescope-")
+    path = f"{scratch.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def event_dashboard(
-    detections: DataFrame, cameras: DataFrame, slicer: Slicer,
-    event_types: Sequence[str] | None = None, item_types: Sequence[str] | None = None,
+    detections: DataFrame, cameras: DataFrame, slicer: Slicer, scratch: str | None = None
 ) -> Results:
-    """All event results of one selection; types not given are read from the facts."""
-    rows = settle(facts.event_facts(detections, cameras, slicer))
-    event_types = event_types or listed_values(rows, "event_type")
-    item_types = item_types or listed_values(rows, "item_type")
+    """All event results of one selection. The facts are computed here, the rest when read."""
+    rows = settle(facts.event_facts(detections, cameras, slicer), scratch)
     hourly_counts = {
         f"hourly_event_count_{direction.lower()}": hourly.hourly_event_count(rows, direction)
         for direction in slicer.directions
@@ -65,21 +54,23 @@ def event_dashboard(
         "event_total": events.event_total(rows),
         "event_count_by_type": events.event_count_by_type(rows),
         "confidence_by_type": events.confidence_by_type(rows),
-        "event_count_by_camera": events.event_count_by_camera(rows, event_types),
+        "event_count_by_camera": events.event_count_by_camera(rows),
         "event_frequency_by_camera": events.event_frequency_by_camera(rows),
         "event_count_by_lane": events.event_count_by_lane(rows),
         "event_lane_rollup": events.event_lane_rollup(rows),
-        "lane_count_b2t": events.lane_count_b2t(rows, event_types),
-        "lane_count_t2b": events.lane_count_t2b(rows, event_types),
-        "confidence_by_type_item": events.confidence_by_type_item(rows, item_types),
+        "lane_count_b2t": events.lane_count_b2t(rows),
+        "lane_count_t2b": events.lane_count_t2b(rows),
+        "confidence_by_type_item": events.confidence_by_type_item(rows),
         "hourly_confidence": hourly.hourly_confidence(rows),
         **hourly_counts,
     }
 
 
-def volume_dashboard(readings: DataFrame, cameras: DataFrame, slicer: Slicer) -> Results:
+def volume_dashboard(
+    readings: DataFrame, cameras: DataFrame, slicer: Slicer, scratch: str | None = None
+) -> Results:
     """All volume, speed and LOS results of one selection."""
-    rows = settle(facts.volume_facts(readings, cameras, slicer))
+    rows = settle(facts.volume_facts(readings, cameras, slicer), scratch)
     on_roads = facts.cameras_on_roads(cameras, slicer.roads)
     heat_map = volume.los_heat_map(rows, on_roads)
     los = hourly.hourly_los(rows)
@@ -99,13 +90,13 @@ def volume_dashboard(readings: DataFrame, cameras: DataFrame, slicer: Slicer) ->
 
 def forecast_dashboard(
     hourly_los: DataFrame, keys: Sequence[str] = ("destination",), days: int = 1,
-    max_p: int = autoregression.MAX_P, d: int = 0,
+    max_p: int = autoregression.MAX_P, d: int = 0, scratch: str | None = None,
 ) -> Results:
     """Split, model, backtest, scores and a forecast of ``days`` days for every series."""
     if days < 1:
         raise ValueError("days is at least 1")
-    split = settle(forecast.split_series(hourly_los, keys))
-    model = settle(autoregression.fit_ar(split, keys, max_p, d))
+    split = settle(forecast.split_series(hourly_los, keys), scratch)
+    model = settle(autoregression.fit_ar(split, keys, max_p, d), scratch)
     backtest = autoregression.backtest_ar(split, model, keys)
     return {
         "los_split": split,

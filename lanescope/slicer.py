@@ -22,13 +22,16 @@ def _whole_hour(moment: datetime) -> datetime:
 class Slicer:
     """Hours ``start`` to ``end``, both included; ``None`` leaves that side open.
 
-    An empty ``roads`` or ``directions`` selects nothing.
+    An empty ``roads`` or ``directions`` selects nothing. ``day_column`` names a column that holds
+    the date of ``time``, such as the partitions of ``sources.write_by_day``; it is only used to
+    read fewer files.
     """
 
     roads: tuple[str, ...]
     directions: tuple[str, ...]
     start: datetime | None = None
     end: datetime | None = None
+    day_column: str | None = None
 
     def __post_init__(self):
         for field in ("roads", "directions"):
@@ -65,20 +68,18 @@ class Slicer:
     def in_span(self, facts: DataFrame) -> DataFrame:
         """Keep rows of the span by a plain range on ``time``.
 
-        The bare column reaches the Parquet or JDBC reader, which a formatted hour would not. A
-        lake written by day (``sources.write_by_day``) is pruned by its ``day`` column too. A row
-        without a time lies in no span.
+        The bare column reaches the Parquet or JDBC reader, which a formatted hour would not; so
+        does ``day_column``, where one is named. A row without a time lies in no span.
         """
         facts = facts.where(F.col("time").isNotNull())
-        by_day = "day" in facts.columns
         if self.start is not None:
             facts = facts.where(F.col("time") >= _moment(self.start))
-            if by_day:
-                facts = facts.where(F.col("day") >= F.lit(self.start.date()))
+            if self.day_column:
+                facts = facts.where(F.col(self.day_column) >= F.lit(self.start.date()))
         if self.end is not None:
             facts = facts.where(F.col("time") < _moment(self.end + HOUR))
-            if by_day:
-                facts = facts.where(F.col("day") <= F.lit(self.end.date()))
+            if self.day_column:
+                facts = facts.where(F.col(self.day_column) <= F.lit(self.end.date()))
         return facts
 
     def in_direction(self, column: str) -> Column:

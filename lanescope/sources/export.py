@@ -20,11 +20,12 @@ def write_csv(result: DataFrame, path: str) -> None:
 def write_by_day(table: DataFrame, path: str, time: str = "time") -> None:
     """Parquet partitioned by ``day``, so that a span of hours reads its own days only.
 
-    The rebalance hint lets adaptive execution split a heavy day over several tasks and files
-    and merge light ones.
+    Days among the rows are replaced, other days of the lake stay. The rebalance hint lets adaptive
+    execution split a heavy day over several tasks and files and merge light ones.
     """
     (
         table.withColumn("day", F.to_date(time))
         .hint("rebalance", "day")
-        .write.mode("overwrite").partitionBy("day").parquet(path)
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("day").parquet(path)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanescope.schema import CAMERAS, EVENTS, VOLUMES
-from lanescope.sources.tables import conform
+from lanescope.sources.tables import conform, read_important_roads
 
 
 # Declared, so that no read has to open files for their schema first.
@@ -20,7 +20,7 @@ COLUMNS = {
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, props STRING",
     "lineitem": """l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT,
                    l_quantity DOUBLE, l_discount DOUBLE, l_returnflag STRING,
-                   l_linestatus STRING""",
+                   l_linestatus STRING, l_shipdate TIMESTAMP_NTZ""",
 }
 
 
@@ -29,23 +29,15 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def cameras(spark: SparkSession, folder: str) -> DataFrame:
-    """One camera per supplier; the road is its region, some latitudes are missing.
-
-    The regions of the 25 nations are one small map, so that the camera table is the supplier
-    table with further columns and its size is known to the optimizer.
-    """
+    """One camera per supplier; the road is its region, some latitudes are missing."""
     supplier, nation, region = (_table(spark, folder, t) for t in ("supplier", "nation", "region"))
-    road_of = (
-        nation.join(region, nation.n_regionkey == region.r_regionkey)
-        .agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "r_name"))))
-        .scalar()
-    )
     return conform(
-        supplier.withColumn("address", road_of[F.col("s_nationkey")])
+        supplier.join(nation, supplier.s_nationkey == nation.n_nationkey)
+        .join(region, nation.n_regionkey == region.r_regionkey)
         .selectExpr(
             "s_suppkey AS camera_id",
             "concat('EQ-', CAST(s_nationkey AS STRING)) AS equipment_id",
-            "address",
+            "r_name AS address",
             """CASE WHEN s_suppkey % 23 = 22 THEN NULL
                     ELSE CAST(3.0 + (s_suppkey % 50) * 0.01 AS DOUBLE) END AS latitude""",
             "CAST(101.5 + (s_suppkey % 40) * 0.01 AS DOUBLE) AS longitude",
@@ -84,7 +76,10 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def volumes(spark: SparkSession, folder: str) -> DataFrame:
-    """Vehicle counts; hours are spread so that every eleventh is a gap, and OUT has further gaps."""
+    """Vehicle counts of every supplier's camera; a day of the shipping dates is an hour here.
+
+    Hours without a row, and every eleventh hour, are gaps.
+    """
     return conform(
         _table(spark, folder, "lineitem")
         .selectExpr(
@@ -92,13 +87,12 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
             """CASE l_partkey % 7 WHEN 0 THEN 'ALL' WHEN 1 THEN 'bus' WHEN 2 THEN 'car'
                     WHEN 3 THEN 'lorry' WHEN 4 THEN 'truck' WHEN 5 THEN 'van'
                     ELSE 'motorbike' END AS vehicle_type""",
-            """CAST(l_orderkey % 72 + CASE WHEN l_returnflag = 'N' AND l_orderkey % 72 % 13 = 4
-                    THEN 1 ELSE 0 END AS INT) AS h""",
+            "CAST(datediff(l_shipdate, DATE '1995-01-01') AS INT) AS h",
         )
         .selectExpr(
             """TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(
                     0, CAST(h * 11 div 10 AS INT), CAST(l_partkey % 60 AS INT)) AS time""",
-            "l_suppkey % 25 AS camera_id",
+            "l_suppkey AS camera_id",
             "CASE l_returnflag WHEN 'A' THEN 'IN' WHEN 'N' THEN 'OUT' END AS destination",
             """concat(CASE l_linestatus WHEN 'F' THEN 'b2t_' ELSE 't2b_' END,
                       CAST(l_linenumber % 3 + 1 AS STRING)) AS zone""",
@@ -113,4 +107,6 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def important_roads(spark: SparkSession, folder: str) -> DataFrame:
-    return _table(spark, folder, "region").selectExpr("r_name AS road")
+    """The first of the two road lists, through their reader; here both are the regions' names."""
+    path = f"{folder}/region.parquet"
+    return read_important_roads(spark, path, path, "parquet", "r_name")[0]

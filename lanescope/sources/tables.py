@@ -4,37 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from lanescope.schema import ROADS
 
 
-def conform(table: DataFrame, schema: StructType) -> DataFrame:
+def conform(table: DataFrame, schema: StructType, day_column: str | None = None) -> DataFrame:
     """The declared columns in the declared types; a text that is no number becomes NULL.
 
-    The ``day`` partition column of a lake is kept for pruning.
+    ``day_column`` is kept besides, for a ``Slicer`` that names it.
     """
     declared = [
         F.col(f.name) if table.schema[f.name].dataType == f.dataType
         else F.col(f.name).try_cast(f.dataType).alias(f.name)
         for f in schema
     ]
-    return table.select(*declared, *(["day"] if "day" in table.columns else []))
+    return table.select(*declared, *([day_column] if day_column else []))
 
 
 def read_table(
     spark: SparkSession, schema: StructType, path: str | None = None, fmt: str = "parquet",
-    **options: str,
+    day_column: str | None = None, **options: str,
 ) -> DataFrame:
     """A source table from files or, with ``fmt="jdbc"`` and ``jdbc_options``, a database.
 
     CSV files are parsed with the declared schema; other formats carry their own types and are
-    brought to the declared ones.
+    brought to the declared ones. ``day_column`` names a partition column of a lake by day.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
         return reader.option("header", True).schema(schema).load(path)
-    return conform(reader.load(path) if path else reader.load(), schema)
+    return conform(reader.load(path) if path else reader.load(), schema, day_column)
 
 
 def jdbc_options(
@@ -61,7 +61,14 @@ def jdbc_options(
 
 
 def read_important_roads(
-    spark: SparkSession, hotspots: str, in_out: str, fmt: str = "csv"
+    spark: SparkSession, hotspots: str, in_out: str, fmt: str = "csv", column: str = "road"
 ) -> tuple[DataFrame, DataFrame]:
-    """The two road lists; the first one is the domain of the road selection."""
-    return tuple(read_table(spark, ROADS, path, fmt) for path in (hotspots, in_out))
+    """The two road lists; the first one is the domain of the road selection.
+
+    ``column`` names the road in files that call it otherwise.
+    """
+    declared = StructType([StructField(column, ROADS["road"].dataType)])
+    return tuple(
+        read_table(spark, declared, path, fmt).withColumnRenamed(column, "road")
+        for path in (hotspots, in_out)
+    )

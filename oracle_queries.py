@@ -37,7 +37,7 @@ VOLUMES = """
 readings AS (
   SELECT TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * CAST(h + h // 10 AS INT)
            + INTERVAL 1 MINUTE * CAST(l_partkey % 60 AS INT) AS time,
-         l_suppkey % 25 AS camera_id,
+         l_suppkey AS camera_id,
          CASE l_returnflag WHEN 'A' THEN 'IN' WHEN 'N' THEN 'OUT' END AS destination,
          (CASE l_linestatus WHEN 'F' THEN 'b2t_' ELSE 't2b_' END)
            || CAST(l_linenumber % 3 + 1 AS VARCHAR) AS zone,
@@ -48,8 +48,7 @@ readings AS (
   FROM (SELECT *, CASE l_partkey % 7 WHEN 0 THEN 'ALL' WHEN 1 THEN 'bus' WHEN 2 THEN 'car'
                     WHEN 3 THEN 'lorry' WHEN 4 THEN 'truck' WHEN 5 THEN 'van'
                     ELSE 'motorbike' END AS vehicle_type,
-               CAST(l_orderkey % 72 + CASE WHEN l_returnflag = 'N' AND l_orderkey % 72 % 13 = 4
-                                           THEN 1 ELSE 0 END AS INT) AS h
+               CAST(date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS INT) AS h
         FROM lineitem)
 )"""
 
@@ -60,8 +59,6 @@ NARROW = (
     "'ASIA'", "'IN'",
     "AND t1.time >= TIMESTAMP '2024-01-01 00:00:00' AND t1.time < TIMESTAMP '2024-01-03 01:00:00'",
 )
-EVENT_TYPES = ("accident", "error", "illegal_stop", "person_on_lane", "signup")
-ITEM_TYPES = ("car", "lorry", "motorbike", "person")
 
 
 def _lenient(field: str) -> str:
@@ -129,13 +126,13 @@ WITH {CAMERAS}, {VOLUMES}, grouped AS (
 
 
 def _crosstab(key: str, where: str, order: str = "") -> str:
-    counts = ", ".join(
-        f"count(*) FILTER (event_type = '{kind}') AS {kind}" for kind in EVENT_TYPES
-    )
-    return (
-        f"{_event_facts()} SELECT {key}, {counts} FROM facts "
-        f"WHERE event_type IS NOT NULL AND {where} GROUP BY {key} {order}"
-    )
+    return f"""{_event_facts()}, counts AS (
+  SELECT {key}, event_type, count(*) AS n FROM facts
+  WHERE event_type IS NOT NULL AND {where} GROUP BY 1, 2
+)
+SELECT k.{key}, t.event_type, coalesce(n, 0) AS events
+FROM (SELECT DISTINCT {key} FROM counts) k CROSS JOIN (SELECT DISTINCT event_type FROM counts) t
+     LEFT JOIN counts c ON c.{key} = k.{key} AND c.event_type = t.event_type {order}"""
 
 
 def _hourly_counts(direction: str) -> str:
@@ -363,11 +360,19 @@ SELECT destination, count(*) AS n_test,
 FROM backtest WHERE test_data IS NOT NULL GROUP BY destination"""
 
 
+def _by_camera(sql: str) -> str:
+    """The same for each camera and destination: the text after the facts with another key."""
+    facts = _volume_facts()
+    assert sql.startswith(facts)
+    keyed = """, keyed AS (
+  SELECT *, destination || '/' || CAST(camera_id AS VARCHAR) AS series FROM facts
+)"""
+    rest = sql.removeprefix(facts).replace("destination", "series").replace("FROM facts", "FROM keyed")
+    return facts + keyed + rest
+
+
 def oracle_sql() -> dict[str, str]:
     events, volumes, by_order = _event_facts(), _volume_facts(), _by_order()
-    item_means = ", ".join(
-        f"avg(confidence) FILTER (item_type = '{kind}') AS {kind}" for kind in ITEM_TYPES
-    )
     heat_map = f"""{volumes}, heat_map AS (
   SELECT f.destination, f.camera_id, c.latitude, c.longitude, avg(f."LOS") AS "LOS"
   FROM facts f LEFT JOIN (SELECT * FROM cameras WHERE address IN ({WIDE_ROADS})) c
@@ -421,12 +426,13 @@ WHERE event_type IS NOT NULL AND zone IS NOT NULL GROUP BY event_type, zone""",
 SELECT event_type, zone, count(camera_id) AS events,
        CAST(grouping(event_type) + grouping(zone) AS INT) AS level
 FROM facts WHERE event_type IS NOT NULL AND zone IS NOT NULL GROUP BY ROLLUP (event_type, zone)""",
-        "lane_count_b2t": _crosstab("zone", "zone LIKE 'b2t%'", "ORDER BY zone DESC"),
-        "lane_count_t2b": _crosstab("zone", "zone LIKE 't2b%'", "ORDER BY zone"),
+        "lane_count_b2t": _crosstab("zone", "zone LIKE 'b2t%'", "ORDER BY k.zone DESC, t.event_type"),
+        "lane_count_t2b": _crosstab("zone", "zone LIKE 't2b%'", "ORDER BY k.zone, t.event_type"),
         "confidence_by_type_item": f"""{events}
-SELECT event_type, {item_means} FROM facts
-WHERE event_type IS NOT NULL AND item_type IS NOT NULL AND confidence IS NOT NULL
-GROUP BY event_type""",
+SELECT event_type, item_type, avg(confidence) AS confidence,
+       round_even(avg(confidence) * 100, 2) AS percent
+FROM facts WHERE event_type IS NOT NULL AND item_type IS NOT NULL AND confidence IS NOT NULL
+GROUP BY event_type, item_type""",
         "hourly_confidence": f"""{events}, means AS (
   SELECT datetime, event_type, avg(confidence) AS y FROM facts
   WHERE event_type IS NOT NULL GROUP BY 1, 2 HAVING avg(confidence) IS NOT NULL
@@ -474,6 +480,9 @@ SELECT datetime, destination, "LOS", CAST({band} AS INT) AS band FROM hourly""",
         "los_backtest": f"{BACKTEST} SELECT * FROM backtest",
         "los_forecast": FORECAST,
         "los_scores": f"{BACKTEST} {SCORES}",
+        "camera_los_model": _by_camera(f"{MODEL} SELECT * FROM model"),
+        "camera_los_forecast": _by_camera(FORECAST),
+        "camera_los_scores": _by_camera(f"{BACKTEST} {SCORES}"),
         "los_model_by_order": f"""{by_order}
 SELECT destination, p, d, n_train, n_test, n, last_y, intercept, sigma, aic, phi_1, phi_2, phi_3,
        phi_4, phi_5

@@ -5,6 +5,7 @@ from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -23,6 +24,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_stays_cached(request):
+    """A cached table would take the place of the real plan in every later test."""
+    yield
+    if "spark" in request.fixturenames or SparkSession.getActiveSession() is not None:
+        SparkSession.getActiveSession().catalog.clearCache()
+
+
 def at(hour: int, minute: int = 0, day: int = 1) -> datetime:
     return datetime(2024, 1, day, hour, minute)
 

@@ -5,6 +5,7 @@ import pytest
 from conftest import SMALL, at
 
 import __spark_entry__ as registry
+from lanescope.functions import widen
 from lanescope.operators import events, facts
 from lanescope.sources import fixtures
 
@@ -51,11 +52,36 @@ def test_confidence_by_type(rows, frame):
     assert ours.percent.tolist() == [float(f"{x * 100:.2f}") for x in expected]
 
 
+def counted(frame, key):
+    """Every observed key with every observed type, counted by hand."""
+    pairs = [(k, t) for k, t in zip(frame[key], frame.event_type) if pd.notna(k) and pd.notna(t)]
+    keys, types = {k for k, _ in pairs}, {t for _, t in pairs}
+    return {(k, t): pairs.count((k, t)) for k in keys for t in types}
+
+
+def long_counts(table, key):
+    return {(r[key], r.event_type): r.events for r in table.collect()}
+
+
 def test_count_by_camera(rows, frame):
-    expected = pd.crosstab(frame.camera_id, frame.event_type)
-    ours = indexed(events.event_count_by_camera(rows, registry.EVENT_TYPES), "camera_id")
-    assert (ours[expected.columns].to_numpy() == expected.to_numpy()).all()
-    assert ours.index.tolist() == expected.index.tolist()
+    assert long_counts(events.event_count_by_camera(rows), "camera_id") == counted(frame, "camera_id")
+
+
+def test_an_unknown_type_is_counted_and_no_list_drops_it(spark, rows, frame):
+    new = spark.createDataFrame([(at(4), "ASIA", 77, "IN", "b2t_9", "flood", "boat", 0.75)], FACTS)
+    both = rows.union(new)
+    counts = long_counts(events.event_count_by_camera(both), "camera_id")
+    assert counts[77, "flood"] == 1 and counts[77, "error"] == 0
+    assert long_counts(events.lane_count_b2t(both), "zone")["b2t_9", "flood"] == 1
+    shares = {(r.event_type, r.item_type): (r.confidence, r.percent)
+              for r in events.confidence_by_type_item(both).collect()}
+    assert shares["flood", "boat"] == (0.75, 75.0)
+    known = sorted({t for _, t in counts} - {"flood"})
+    table = events.event_count_by_camera(rows)
+    wide = {r.camera_id: r.asDict() for r in widen(table, "camera_id", "event_type", "events", known).collect()}
+    assert all(wide[k][t] == n for (k, t), n in long_counts(table, "camera_id").items())
+    with pytest.raises(Exception, match="event_type is not listed: flood"):
+        widen(events.event_count_by_camera(both), "camera_id", "event_type", "events", known).collect()
 
 
 def test_frequency_keeps_null_camera(rows, frame):
@@ -81,17 +107,21 @@ def test_count_by_lane_and_rollup(rows, frame):
     ("b2t", events.lane_count_b2t), ("t2b", events.lane_count_t2b),
 ])
 def test_lanes(rows, frame, view, operator):
-    lanes = frame[frame.zone.fillna("").str.startswith(view)]
-    expected = pd.crosstab(lanes.zone, lanes.event_type)
-    if view == "b2t":
-        expected = expected.sort_values(by="zone", ascending=False)
-    ours = operator(rows, registry.EVENT_TYPES).toPandas().set_index("zone")
-    assert ours.index.tolist() == expected.index.tolist()
-    assert (ours[expected.columns].to_numpy() == expected.to_numpy()).all()
+    lanes = frame[[str(z).startswith(view) for z in frame.zone]]
+    found = operator(rows)
+    assert long_counts(found, "zone") == counted(lanes, "zone")
+    order = [(r.zone, r.event_type) for r in found.collect()]
+    assert order == sorted(sorted(order, key=lambda x: x[1]), key=lambda x: x[0], reverse=view == "b2t")
 
 
 def test_confidence_by_type_and_item(rows, frame):
-    expected = pd.crosstab(frame.event_type, frame.item_type, frame.confidence, aggfunc="mean")
-    expected = expected.dropna(how="all").dropna(how="all", axis=1)
-    ours = indexed(events.confidence_by_type_item(rows, registry.ITEM_TYPES), "event_type")
-    pd.testing.assert_frame_equal(ours[expected.columns], expected, check_names=False)
+    cells = {}
+    for kind, item, value in zip(frame.event_type, frame.item_type, frame.confidence):
+        if pd.notna(kind) and pd.notna(item) and pd.notna(value):
+            cells.setdefault((kind, item), []).append(value)
+    ours = {(r.event_type, r.item_type): r for r in events.confidence_by_type_item(rows).collect()}
+    assert set(ours) == set(cells)
+    for cell, values in cells.items():
+        mean = sum(values) / len(values)
+        assert ours[cell].confidence == pytest.approx(mean)
+        assert ours[cell].percent == pytest.approx(100 * mean, abs=0.00501)

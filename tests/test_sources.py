@@ -1,9 +1,12 @@
+from dataclasses import replace
+
 import pytest
 from conftest import MEDIUM, SMALL, at
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from lanescope import Slicer, plans, sources
-from lanescope.operators import events, facts
+from lanescope.operators import facts
 from lanescope.schema import CAMERAS, EVENTS, VOLUMES
 from lanescope.sources import fixtures
 
@@ -85,8 +88,8 @@ def test_lake_by_day_is_pruned_and_gives_the_same_facts(spark, tmp_path):
     sources.write_by_day(fixtures.events(spark, SMALL), lake)
     cameras = fixtures.cameras(spark, SMALL)
     slicer = Slicer(registry.WIDE.roads, ["IN", "OUT"], at(20, day=3), at(4, day=5))
-    table = sources.read_table(spark, EVENTS, lake)
-    ours = facts.event_facts(table, cameras, slicer)
+    table = sources.read_table(spark, EVENTS, lake, day_column="day")
+    ours = facts.event_facts(table, cameras, replace(slicer, day_column="day"))
     plain = facts.event_facts(fixtures.events(spark, SMALL), cameras, slicer)
     assert plain.count() > 0
     assert ours.exceptAll(plain).count() == 0 and plain.exceptAll(ours).count() == 0
@@ -94,12 +97,28 @@ def test_lake_by_day_is_pruned_and_gives_the_same_facts(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in plan
 
 
+def test_one_more_day_leaves_the_others(spark, tmp_path):
+    lake = str(tmp_path / "lake")
+    days = [spark.createDataFrame([(at(3, day=d), 1, "IN", "b2t_1", "error", "car", None)], EVENTS) for d in (1, 2)]
+    sources.write_by_day(days[0], lake)
+    sources.write_by_day(days[1], lake)
+    sources.write_by_day(days[1].union(days[1]), lake)
+    counts = spark.read.parquet(lake).groupBy("day").count().collect()
+    assert sorted((r.day.day, r["count"]) for r in counts) == [(1, 1), (2, 2)]
+
+
+def test_a_foreign_day_column_is_no_filter(spark):
+    data = [(at(3), 1, "IN", "b2t_1", "error", "car", None)]
+    cameras = spark.createDataFrame([(1, "EQ", "R", 1.0, 2.0)], CAMERAS)
+    table = spark.createDataFrame(data, EVENTS).withColumn("day", F.lit("1999-01-01").cast("date"))
+    slicer = Slicer(["R"], ["IN"], at(0), at(5))
+    assert facts.event_facts(table, cameras, slicer).count() == 1
+
+
 def test_dashboards_and_exports(spark, tmp_path):
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(str(tmp_path / "checkpoints"))
     cameras = fixtures.cameras(spark, SMALL)
-    board = plans.event_dashboard(fixtures.events(spark, SMALL), cameras, registry.WIDE)
+    scratch = str(tmp_path / "scratch")
+    board = plans.event_dashboard(fixtures.events(spark, SMALL), cameras, registry.WIDE, scratch)
     for name, result in board.items():
         if name == "cameras_on_roads":
             continue  # the registered query selects fewer roads
@@ -123,13 +142,6 @@ def test_dashboards_and_exports(spark, tmp_path):
     ]
     lanes = spark.read.option("header", True).csv(paths[2])
     assert lanes.count() == board["event_count_by_lane"].count()
-    # The facts were computed once: later results read the checkpoint.
-    plan = events.event_total(board["event_facts"])._jdf.queryExecution().optimizedPlan().toString()
-    assert "LogicalRDD" in plan and "parquet" not in plan
-
-
-def test_a_cross_tab_is_never_cut_off(spark, monkeypatch):
-    monkeypatch.setattr(plans.dashboards, "MAX_COLUMNS", 3)
-    assert plans.listed_values(spark.range(3), "id") == [0, 1, 2]
-    with pytest.raises(ValueError):
-        plans.listed_values(spark.range(4), "id")
+    # The facts were computed once: later results read them, and only the columns they need.
+    plan = board["confidence_by_type"]._jdf.queryExecution().executedPlan().toString()
+    assert scratch in plan and "address" not in plan.split("ReadSchema")[1]
