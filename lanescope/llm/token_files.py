@@ -8,15 +8,17 @@ a few documents are read, and reading the other columns alone touches no token.
 file within the whole is the sum over the files before, one row each.
 
 Encoding splits a slice of texts at ASCII white space, which this kind of vocabulary drops, and
-encodes each different piece once with the tokenizers library; a bounded cache keeps pieces.
+encodes each different piece once with the tokenizers library; a bounded cache of packed arrays keeps
+what a worker has encoded.  Pieces are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from pyspark.sql.window import Window
 
 from lanescope.llm import arrays
 
-CACHE_ENTRIES = 300_000
-LONG_PIECE = 100
+#: A worker forgets the pieces it knows beyond so many, or so many ids of them.
+CACHE_ENTRIES, CACHE_IDS = 3_000_000, 16_000_000
 END_ID = 2
 
 #: How files are written; each may be changed by the caller.
@@ -52,6 +54,54 @@ SCHEMA = T.StructType([
 ])
 
 
+class IdLists:
+    """Lists of ids by 64-bit keys: about 30 bytes for a short list, found many at a time.
+
+    A small sorted array takes new keys and is merged into a large one when it has grown.
+    """
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.large, self.small = none, none
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def __len__(self) -> int:
+        return len(self.large[0]) + len(self.small[0])
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each key's ids begin, and how many there are; -1 for a key that isn't there."""
+        begin, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for known, starts, sizes in (self.large, self.small):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                same = known[at] == keys
+                begin[same], size[same] = starts[at[same]], sizes[at[same]]
+        return begin, size
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Takes in new lists, laid end to end in ``ids``; returns where each begins."""
+        if self.used + len(ids) > len(self.ids):
+            grown = np.zeros(2 * (self.used + len(ids)), np.int32)
+            grown[: self.used] = self.ids[: self.used]
+            self.ids = grown
+        self.ids[self.used : self.used + len(ids)] = ids
+        begin = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.small = _merged(self.small, (keys, begin, sizes.astype(np.int32)))
+        if len(self.small[0]) > 50_000 + len(self.large[0]) // 4:
+            self.large, self.small = _merged(self.large, self.small), tuple(x[:0] for x in self.small)
+        return begin
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    both = [np.concatenate(x) for x in zip(a, b)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(x[order] for x in both)
+
+
 class WordEncoder:
     """Encodes slices of texts with a vocabulary file of the tokenizers library."""
 
@@ -60,34 +110,37 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, np.ndarray] = {}
-
-    def _ids(self, pieces: list[bytes]) -> list[np.ndarray]:
-        known = self.cache
-        missing = [p for p in pieces if p not in known]
-        made: dict[bytes, np.ndarray] = {}
-        for piece, found in zip(missing, self.tokenizer.encode_batch_fast(
-            [p.decode("utf-8") for p in missing], add_special_tokens=False
-        )):
-            made[piece] = np.array(found.ids, np.int32)
-        ids = [made[p] if p in made else known[p] for p in pieces]
-        if len(known) + len(made) > CACHE_ENTRIES:
-            known.clear()
-        known.update((p, x) for p, x in made.items() if len(p) <= LONG_PIECE)
-        return ids
+        self.known = IdLists()
+
+    def _lists(self, keys: np.ndarray, pieces: Callable[[np.ndarray], list[str]]):
+        """Where the ids of each key begin in ``known.ids``, and how many; encodes what is new."""
+        if len(self.known) > CACHE_ENTRIES or self.known.used > CACHE_IDS:
+            self.known.clear()
+        begin, size = self.known.find(keys)
+        new = np.flatnonzero(size < 0)
+        found = self.tokenizer.encode_batch_fast(pieces(new), add_special_tokens=False)
+        lists = [x.ids for x in found]
+        size[new] = np.fromiter(map(len, lists), np.int64, len(lists))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(size[new].sum()))
+        begin[new] = self.known.add(keys[new], size[new], ids)
+        return begin, size
 
     def encode(
         self, body: np.ndarray, offsets: np.ndarray, end: int = END_ID
     ) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, ``end`` after each, and where each text's begin."""
         starts, ends, first = arrays.word_bounds(body, offsets, arrays.SPACES)
-        chosen, places = arrays.distinct(arrays.word_hashes(body, starts, ends))
+        hashes = arrays.word_hashes(body, starts, ends)
+        chosen, places = arrays.distinct(hashes)
         data = body.tobytes()
-        own = self._ids([data[a:b] for a, b in zip(starts[chosen].tolist(), ends[chosen].tolist())])
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        each = sizes[places]
-        flat = np.concatenate(own) if own else np.zeros(0, np.int32)
-        ids = flat[arrays.ranges((np.cumsum(sizes) - sizes)[places], each)]
+
+        def pieces(new: np.ndarray) -> list[str]:
+            at = chosen[new]
+            return [data[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+
+        begin, size = self._lists(hashes[chosen], pieces)
+        each = size[places]
+        ids = self.known.ids[arrays.ranges(begin[places], each)]
         at = np.concatenate([[0], np.cumsum(each)])[first]
         return np.insert(ids, at[1:], end), at + np.arange(len(at))
 
