@@ -3,7 +3,7 @@
 A tree's nodes are rows (tree, node, parent, role, text, score).  Paths from root to leaf are
 found by iterative self-joins that double: after round k every node knows its ancestor 2^k steps up
 and the score of the way there, so a tree of depth D takes log2(D) rounds, and a round moves one
-narrow row per node.  Branches are ranked by their leaf's total score.  For the chosen leaves the
+narrow row per node that isn't done.  Branches are ranked by their leaf's total score.  For the chosen leaves the
 same tables, largest step first, list each path's nodes exactly once; texts are joined last.
 
 A conversation is written between markers.  In texts a backslash and a letter stand for each sign
@@ -40,36 +40,41 @@ def unescape(text: Column, signs: dict[str, str] = IN_TEXTS) -> Column:
     return text
 
 
-def _steps(nodes: DataFrame) -> list[DataFrame]:
-    """For k = 0, 1, ...: (tree, node, up, far, total): the ancestor 2^k up, or null past the root.
+def _steps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Hops and totals: [(tree, node, up) for k = 0, 1, ...] and (tree, node, far, total).
 
-    ``total`` sums the scores from the node up to, not including, ``up``; ``far`` counts those nodes.
+    The k-th hops lead from each node to its ancestor 2^k up, where it has one; only such nodes go
+    on to the next round.  ``far`` counts the nodes from the root to a node, ``total`` their scores.
     """
+    own = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
     step = written(nodes.select(
         "tree", "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("far"),
-        F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total"),
+        own.alias("total"),
     ))
-    steps = [step]
+    hops: list[DataFrame] = []
+    ended = step.where(F.col("up").isNull())
     while step.where(F.col("up").isNotNull()).limit(1).count():
-        above = step.select(
+        going = step.where(F.col("up").isNotNull())
+        hops.append(going.select("tree", "node", "up"))
+        if len(hops) > 62:
+            raise ValueError("the parents of some nodes form a cycle")
+        above = going.unionByName(ended).select(
             "tree", F.col("node").alias("up"), F.col("up").alias("higher"),
             F.col("far").alias("more"), F.col("total").alias("rest"),
         )
-        step = written(step.join(above, ["tree", "up"], "left").select(
+        step = written(going.join(above, ["tree", "up"]).select(
             "tree", "node", F.col("higher").alias("up"),
-            (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"),
-            (F.col("total") + F.coalesce("rest", F.lit(0.0))).alias("total"),
+            (F.col("far") + F.col("more")).alias("far"),
+            (F.col("total") + F.col("rest")).alias("total"),
         ))
-        steps.append(step)
-        if len(steps) > 62:
-            raise ValueError("the parents of some nodes form a cycle")
-    return steps
+        ended = ended.unionByName(step.where(F.col("up").isNull()))
+    return hops, ended.select("tree", "node", "far", "total")
 
 
-def ranked_leaves(nodes: DataFrame, steps: list[DataFrame]) -> DataFrame:
+def ranked_leaves(nodes: DataFrame, totals: DataFrame) -> DataFrame:
     """(tree, leaf, n_turns, total, branch): branches from the best total score on, from 1."""
     parents = nodes.select("tree", F.col("parent").alias("node")).where(F.col("node").isNotNull())
-    leaves = steps[-1].join(parents.distinct(), ["tree", "node"], "left_anti")
+    leaves = totals.join(parents.distinct(), ["tree", "node"], "left_anti")
     best_first = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     return leaves.select(
         "tree", F.col("node").alias("leaf"), F.col("far").alias("n_turns"), "total",
@@ -77,14 +82,13 @@ def ranked_leaves(nodes: DataFrame, steps: list[DataFrame]) -> DataFrame:
     )
 
 
-def path_nodes(leaves: DataFrame, steps: list[DataFrame]) -> DataFrame:
+def path_nodes(leaves: DataFrame, hops: list[DataFrame]) -> DataFrame:
     """(tree, leaf, node, up_to_leaf): every node on the path to each leaf, counted from the leaf."""
     paths = leaves.select(
         "tree", "leaf", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("up_to_leaf")
     )
-    for k in range(len(steps) - 2, -1, -1):
-        hop = steps[k].select("tree", "node", "up").where(F.col("up").isNotNull())
-        further = paths.join(hop, ["tree", "node"]).select(
+    for k in range(len(hops) - 1, -1, -1):
+        further = paths.join(hops[k], ["tree", "node"]).select(
             "tree", "leaf", F.col("up").alias("node"),
             (F.col("up_to_leaf") + (1 << k)).alias("up_to_leaf"),
         )
@@ -145,13 +149,13 @@ def conversations(nodes: DataFrame, branches: int | None = 1) -> DataFrame:
     narrow = written(placed.select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("parent"), "score"
     ))
-    steps = _steps(narrow)
-    leaves = ranked_leaves(narrow, steps)
+    hops, totals = _steps(narrow)
+    leaves = ranked_leaves(narrow, totals)
     if branches is not None:
         leaves = leaves.where(F.col("branch") <= branches)
     leaves = written(leaves)
     turns = (
-        path_nodes(leaves, steps)
+        path_nodes(leaves, hops)
         .join(leaves, ["tree", "leaf"])
         .join(nodes.select("tree", "node", "role", "text"), ["tree", "node"])
         .select(
