@@ -13,16 +13,23 @@ from lanescope.schema import CONFIDENCE_FIELD
 NUMERIC_PREFIX = r"^\s*([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
-def detection_confidence(event_type: Column, description: Column) -> Column:
-    """Confidence as ``decimal(5,4)``, NULL where the event type carries none.
+def confidence_number(event_type: Column, description: Column) -> Column:
+    """The leading number, as text, after the last field name up to the next comma.
 
-    The text after the last field name up to the next comma is read the lenient way: its leading
-    number counts, no number at all counts as 0 and a number out of range is clipped to the
-    widest value the type holds. A NULL description stays NULL.
+    Empty where there is none, NULL where the event type carries no confidence.
     """
     fields = F.create_map(*(F.lit(text) for text in chain.from_iterable(CONFIDENCE_FIELD.items())))
     after = F.call_function("substring_index", description, fields[event_type], F.lit(-1))
-    number = F.regexp_extract(F.substring_index(after, ",", 1), NUMERIC_PREFIX, 1)
+    return F.regexp_extract(F.substring_index(after, ",", 1), NUMERIC_PREFIX, 1)
+
+
+def confidence_of(number: Column) -> Column:
+    """Such a number as ``decimal(5,4)``.
+
+    It is read the lenient way: no number at all counts as 0, and one out of range is clipped to the
+    widest value the type holds. ``number`` is used several times here, so let it be a column of a
+    projection below, which extracts it once per row.
+    """
     widest = F.lit("9.9999").cast("decimal(5,4)")
     return (
         F.when(number == "", F.lit(0).cast("decimal(5,4)"))
@@ -34,3 +41,8 @@ def detection_confidence(event_type: Column, description: Column) -> Column:
             ),
         )
     )
+
+
+def detection_confidence(event_type: Column, description: Column) -> Column:
+    """Confidence as ``decimal(5,4)``, NULL where the event type or the description carries none."""
+    return confidence_of(confidence_number(event_type, description))

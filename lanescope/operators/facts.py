@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanescope.functions import (
-    detection_confidence,
+    confidence_number,
+    confidence_of,
     hour_of,
     lane_speed,
     level_of_service,
@@ -48,9 +49,12 @@ def event_facts(events: DataFrame, cameras: DataFrame, slicer: Slicer) -> DataFr
     groups = (
         slicer.in_span(events)
         .where(slicer.in_direction("direction"))
-        .withColumn("datetime", hour_of(F.col("time")))
+        .withColumns({
+            "datetime": hour_of(F.col("time")),
+            "_number": confidence_number(F.col("event_type"), F.col("description")),
+        })
         .groupBy(*EVENT_KEYS)
-        .agg(F.avg(detection_confidence(F.col("event_type"), F.col("description"))).alias("mean"))
+        .agg(F.avg(confidence_of(F.col("_number"))).alias("mean"))
     )
     # A camera listed twice on one road repeats every detection alike and leaves the mean as it is.
     facts = _join_cameras(groups, cameras_on_roads(cameras, slicer.roads), ["address"])

@@ -482,7 +482,8 @@ SELECT datetime, destination, "LOS", CAST({band} AS INT) AS band FROM hourly""",
         "los_scores": f"{BACKTEST} {SCORES}",
         "camera_los_model": _by_camera(f"{MODEL} SELECT * FROM model"),
         "camera_los_forecast": _by_camera(FORECAST),
-        "camera_los_scores": _by_camera(f"{BACKTEST} {SCORES}"),
+        "camera_los_rmse": _by_camera(f"""{BACKTEST}, scores AS ({SCORES})
+SELECT destination, n_test, round_even(rmse, 6) AS rmse FROM scores"""),
         "los_model_by_order": f"""{by_order}
 SELECT destination, p, d, n_train, n_test, n, last_y, intercept, sigma, aic, phi_1, phi_2, phi_3,
        phi_4, phi_5
