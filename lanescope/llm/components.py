@@ -36,10 +36,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("a", F.col("least").alias("b")))
 
 
-def _state(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.shiftright(F.xxhash64("a", "b"), 8)).alias("h")
-    ).first()
+def _state(edges: DataFrame) -> tuple[int, int | None]:
+    row = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
     return row.n, row.h
 
 
