@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step takes at most (one longer text is taken alone).
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_200_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
