@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lanescope.llm import arrays, pretokens
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 120_000
 #: Longer pre-tokens are merged with a heap instead of repeated passes.
 LONG_PIECE = 200
 
