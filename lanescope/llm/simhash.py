@@ -1,13 +1,14 @@
-"""SimHash near-duplicates over an inverted index of byte positions with count filtering.
+"""SimHash near-duplicates over an inverted index of five of eight byte positions.
 
 Two 64-bit fingerprints that differ in at most 3 bits differ in at most 3 of their 8 bytes, so they
 share at least ``MIN_SHARED`` = 5 bytes at equal positions.  The index lists fingerprints under each
 choice of five byte positions and the bytes there: 56 postings a fingerprint, and one that any
-linked pair has in common.  In a posting list the shared bytes of each pair are tallied, pairs
-below the minimum are dropped (none reaches it by chance alone), and the rest is verified bit by
-bit.  Only the distinct fingerprints are indexed, so copies cost nothing; a posting list leaves 24
-bits open, so it has at most 2^24 entries, whatever the input.  Long lists are searched breadth
-first and yield one edge per member instead of all pairs.
+linked pair has in common.  These choices replace a tally of shared bytes: lists by single bytes
+would hold one in 256 of all fingerprints each.  Every pair in a list shares five bytes already, so
+that ``shared_bytes`` drops none there; pairs are verified bit by bit.  Only the distinct
+fingerprints are indexed, so copies cost nothing; a posting list leaves 24 bits open, so it has at
+most 2^24 entries, whatever the input.  Long lists are searched breadth first and yield one edge per
+member instead of all pairs.
 """
 
 from __future__ import annotations
