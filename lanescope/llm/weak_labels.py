@@ -287,18 +287,26 @@ def _pattern_counts(docs: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]
 def fit(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> tuple[LabelModel, Scorer]:
     """The label model over all of ``docs``, and a scorer trained on a sample of MAX_SAMPLE of them."""
     labels = LabelModel.fitted(*_pattern_counts(docs, text))
-    chosen = docs.select(F.col(id_column).alias("__id")).distinct()
-    chosen = chosen.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(MAX_SAMPLE)
-    given = docs.select(F.col(id_column).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
-    # Bounded by the limit: six thousand ids.
-    rows = given.join(F.broadcast(chosen), "__id", "left_semi").toArrow().combine_chunks()
-    rows = rows.sort_by([("__id", "ascending"), ("text", "ascending")])
+    rows = sample(docs, text, id_column)
     if not rows.num_rows:
         return labels, Scorer(np.zeros(TABLE), 0.0)
     words = Words.of(*arrays.text_bytes(rows.column("text").combine_chunks()))
     return labels, Scorer.trained(words, labels.posterior(votes(words)))
 
 
+def sample(docs: DataFrame, text: str, id_column: str) -> pa.Table:
+    """One row, the text of least hash, of each of MAX_SAMPLE ids at most."""
+    chosen = docs.select(F.col(id_column).alias("__id")).distinct()
+    chosen = chosen.orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(MAX_SAMPLE)
+    given = docs.select(F.col(id_column).alias("__id"), F.coalesce(text, F.lit("")).alias("text"))
+    # Bounded by the limit: six thousand ids.
+    found = given.join(F.broadcast(chosen), "__id", "left_semi").groupBy("__id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    )
+    rows = found.select("__id", "first.text").toArrow().combine_chunks()
+    return rows.sort_by([("__id", "ascending")])
+
+
 ADDED = T.StructType([
     T.StructField("votes", T.ArrayType(T.IntegerType())),
     T.StructField("posterior", T.DoubleType()),

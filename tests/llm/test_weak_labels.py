@@ -60,3 +60,11 @@ def test_votes_do_not_depend_on_neighbours():
     named = dict(zip((f.__name__ for f in W.LABELLERS), W.digits(W.votes(whole)).T))
     assert named["capitals"][2] == W.BAD and named["repeats"][3] == W.BAD
     assert named["wordless"][4] == W.BAD and named["signs"][6] == W.BAD
+
+
+def test_a_repeated_id_gives_one_row_to_the_sample(spark):
+    from lanescope.llm import weak_labels
+
+    rows = [(1, f"text {i}") for i in range(50)] + [(2, None), (3, "other")]
+    rows = weak_labels.sample(spark.createDataFrame(rows, "doc_id long, text string"), "text", "doc_id")
+    assert rows.column("__id").to_pylist() == [1, 2, 3]
