@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanescope.llm import byte_pairs, chat, decontamination, language_model, passages, simhash, token_files, topk, toxicity, weak_labels
+from lanescope.llm import (
+    byte_pairs, chat, decontamination, divergence_audit, embedding_dedup, filter_audit,
+    language_model, passages, simhash, token_files, topk, toxicity, weak_labels,
+)
 from lanescope.llm.shared import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +85,18 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(chat.conversations(trees))
 
 
+def op11_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_divergence_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence_audit.audit(table(spark, folder, "documents"))
+
+
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3_SQL = rf"""
@@ -157,6 +172,116 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
+OP11_SQL = """
+WITH RECURSIVE whole AS (
+    SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v
+    FROM embeddings
+), usable AS (
+    SELECT *, sqrt(list_dot_product(v, v)) AS norm FROM whole
+    WHERE v IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(v, lambda x: x <> 0)) > 0
+), linked AS (
+    SELECT a.r, b.r AS other, b.vec_id FROM usable a JOIN usable b
+    ON a.r <> b.r AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.9
+), reach AS (
+    SELECT r, r AS other FROM whole
+    UNION
+    SELECT reach.r, linked.other FROM reach JOIN linked ON reach.other = linked.r
+), least AS (
+    SELECT reach.r, min(whole.vec_id) AS component_id FROM reach JOIN whole ON reach.other = whole.r
+    GROUP BY 1
+), counted AS (SELECT r, count(*) AS n FROM linked GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id,
+       coalesce(vec_id = component_id, false) AS kept
+FROM whole JOIN least USING (r) LEFT JOIN counted USING (r)
+"""
+
+OP12_SQL = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), mark AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+), failed AS (
+    SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+           CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+           || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+           || CASE WHEN 100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g')))
+                        > 5 * length(body) THEN 'C' ELSE '' END
+           || CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 'D' ELSE '' END
+           || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY body) THEN 'E' ELSE '' END AS fails
+    FROM doc LEFT JOIN mark USING (doc_id)
+), cell AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+    FROM failed GROUP BY 1, 2
+), letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+    SELECT a.l || b.l || c.l || d.l || e.l AS filter_order
+    FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+    SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS l,
+           substr(filter_order, 1, step - 1) AS before
+    FROM orders, range(1, 6) t(step)
+), weighed AS (
+    SELECT part, filter_order, step, l, n, good, toxic, contains(fails, l) AS own, fails = l AS sole,
+           fails <> '' AND translate(before, fails, '') <> before AS gone
+    FROM cell, steps
+), counted AS (
+    SELECT part, filter_order, step, l,
+           coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept,
+           coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+           coalesce(sum(n) FILTER (own AND gone), 0) AS redundant,
+           coalesce(sum(n) FILTER (sole), 0) AS unique_fails,
+           coalesce(sum(good) FILTER (own AND NOT gone), 0) AS good_lost,
+           coalesce(sum(toxic) FILTER (own AND NOT gone), 0) AS toxic_lost
+    FROM weighed GROUP BY 1, 2, 3, 4
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, l) AS BIGINT) AS shapley
+FROM counted
+"""
+
+OP13_SQL = rf"""
+WITH doc AS (
+    SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), word AS (SELECT r, lang, source, unnest(terms) AS term FROM doc
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM word GROUP BY 1, 2 HAVING count(DISTINCT r) >= 3
+), whole AS (SELECT lang, count(*) AS v, sum(total) AS lang_n FROM kept GROUP BY 1
+), cell AS (
+    SELECT lang, source, term, count(*) AS n FROM word JOIN kept USING (lang, term) GROUP BY 1, 2, 3
+), grp AS (
+    SELECT lang, source, coalesce(sum(n), 0) AS own_n
+    FROM (SELECT DISTINCT lang, source FROM doc) LEFT JOIN cell USING (lang, source) GROUP BY 1, 2
+), share AS (
+    SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n,
+           1 + (CAST(1000000000 AS HUGEINT) * (coalesce(n, 0) + 1)) // (own_n + v) AS p,
+           1 + (CAST(1000000000 AS HUGEINT) * (total + 1)) // (lang_n + v) AS q
+    FROM grp g JOIN kept k USING (lang) JOIN whole USING (lang)
+         LEFT JOIN cell c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+    FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+    GROUP BY 1, 2, 3
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+         LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM share WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM found)
+WHERE part = 'pair' OR rank <= 200
+"""
+
 
 def queries() -> dict[str, Query]:
     return {
@@ -170,6 +295,9 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_weak_labels": op9_weak_labels,
         "op10_chat": op10_chat,
+        "op11_embedding_dedup": op11_embedding_dedup,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_divergence_audit": op13_divergence_audit,
     }
 
 
@@ -178,4 +306,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontamination": OP3_SQL,
         "op6_topk": OP6_SQL,
         "op10_chat": OP10_SQL,
+        "op11_embedding_dedup": OP11_SQL,
+        "op12_filter_audit": OP12_SQL,
+        "op13_divergence_audit": OP13_SQL,
     }
