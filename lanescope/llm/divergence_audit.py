@@ -30,14 +30,20 @@ TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 3
 SCALE = 1_000_000_000
 TOP = 200
-#: Counted chunks a task holds before it sends them on.
-HELD = 400_000
+#: Counted chunks a task holds before it sends them on, and states united at a time.
+HELD, UNITED = 1_000_000, 200_000
 #: Sources in one tile, and counts in one block of a tile, about.
 TILE, BLOCK = 256, 500_000
 #: Cells of a dense table.
 CELLS = 1 << 19
 
 STATE = ["n", "docs", "first", "last"]
+LETTER = ~arrays._separators((0x00, 0x60), (0x7B, 0x7F))
+#: Counts of one task fit 32 bits.
+HELD_SCHEMA = pa.schema([
+    ("chunk", pa.large_binary()), ("hash", pa.uint64()), ("group", pa.int32()), ("n", pa.int32()),
+    ("docs", pa.int32()), ("first", pa.int64()), ("last", pa.int64()),
+])
 
 
 def _struct(**types: T.DataType) -> T.StructType:
@@ -79,12 +85,16 @@ def _counted(piece: pa.RecordBatch, group: np.ndarray) -> pa.Table:
     body, offsets = arrays.text_bytes(piece.column("text"))
     body = arrays.lower(body)
     starts, ends, first = arrays.word_bounds(body, offsets, arrays.SPACES)
+    of = np.repeat(np.arange(len(group)), np.diff(first))
+    letters = np.concatenate([[0], np.cumsum(LETTER[body])])
+    named = letters[ends] > letters[starts]  # a chunk without letters has no terms
+    starts, ends, of = starts[named], ends[named], of[named]
     hashes = arrays.word_hashes(body, starts, ends)
     # Documents in order of their group, so that equal chunks of a group are neighbours.
     place = np.empty(len(group), np.int64)
     by_group = np.argsort(group, kind="stable")
     place[by_group] = np.arange(len(group))
-    of = np.repeat(place, np.diff(first))
+    of = place[of]
     order = np.lexsort((of, hashes))
     hashes, doc = hashes[order], by_group[of[order]]
     own = group[doc]
@@ -93,8 +103,7 @@ def _counted(piece: pa.RecordBatch, group: np.ndarray) -> pa.Table:
     hashes, doc, own, at = hashes[begin], doc[begin], own[begin], order[begin]
     begin = _runs(hashes, own)
     if not len(begin):
-        return pa.table({"chunk": pa.array([], pa.large_binary()), "hash": pa.array([], pa.uint64()),
-                         **{c: pa.array([], pa.int64()) for c in ("group", *STATE)}})
+        return HELD_SCHEMA.empty_table()
     rows = piece.column("row").to_numpy()[doc]
     at = at[begin]
     lengths = ends[at] - starts[at]
@@ -102,11 +111,12 @@ def _counted(piece: pa.RecordBatch, group: np.ndarray) -> pa.Table:
         None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)),
         pa.py_buffer(body[arrays.ranges(starts[at], lengths)].tobytes()),
     ])
-    return pa.table({
-        "chunk": chunk, "hash": hashes[begin], "group": own[begin],
-        "n": np.add.reduceat(size, begin), "docs": np.diff(np.append(begin, len(hashes))),
-        "first": np.minimum.reduceat(rows, begin), "last": np.maximum.reduceat(rows, begin),
-    })
+    return pa.table([
+        chunk, hashes[begin], own[begin].astype(np.int32),
+        np.add.reduceat(size, begin).astype(np.int32),
+        np.diff(np.append(begin, len(hashes))).astype(np.int32),
+        np.minimum.reduceat(rows, begin), np.maximum.reduceat(rows, begin),
+    ], schema=HELD_SCHEMA)
 
 
 def _merged(tables: list[pa.Table]) -> pa.Table:
@@ -120,7 +130,7 @@ def _merged(tables: list[pa.Table]) -> pa.Table:
     how = {"n": np.add, "docs": np.add, "first": np.minimum, "last": np.maximum}
     for name, merge in how.items():
         found[name] = merge.reduceat(table.column(name).to_numpy()[order], begin)
-    return pa.table(found)
+    return pa.table(found, schema=HELD_SCHEMA)
 
 
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +140,7 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         lang, source = groups.names(table.column("group").to_numpy())
         whole = pa.table({
             "lang": lang, "source": source, "chunk": table.column("chunk").cast(pa.large_string()).cast(pa.string()),
-            **{name: table.column(name) for name in STATE},
+            **{name: table.column(name).cast(pa.int64()) for name in STATE},
         })
         yield from whole.combine_chunks().to_batches(max_chunksize=65_536)
 
@@ -165,8 +175,15 @@ def chunk_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFram
 
 
 def tokenized(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, times): terms of each distinct chunk; a chunk without terms has no row."""
-    return chunks.select("chunk").distinct().select(
+    """(chunk, term, times): terms of each distinct chunk; a chunk without terms has no row.
+
+    The condition, which always holds, needs every column: the plan below is then the same as that
+    of ``chunks``, and Spark reuses its shuffle.
+    """
+    once = chunks.groupBy("chunk").agg(
+        *[F.max(c).alias(c) for c in STATE], F.count("lang").alias("langs"), F.count("source").alias("sources")
+    ).where("least(n, docs, langs, sources) > 0 AND last >= first")
+    return once.select(
         "chunk", F.explode(F.regexp_extract_all("chunk", F.lit(TERM), F.lit(0))).alias("term")
     ).groupBy("chunk", "term").agg(F.count("*").alias("times"))
 
@@ -197,9 +214,18 @@ def _fresh(column: pa.Array) -> np.ndarray:
     return fresh
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    held: list[pa.RecordBatch] = []
+    for batch in _and_none(batches):
+        held += [] if batch is None else [batch]
+        if held and (batch is None or sum(b.num_rows for b in held) >= rows):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+
+
 def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """States of the same term and source within a batch united, before they move."""
-    for batch in batches:
+    """States of the same term and source united, UNITED at a time, before they move."""
+    for batch in _gathered(batches, UNITED):
         keys = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("lang", "source", "term")]
         order = np.lexsort(keys)
         begin = _runs(*[key[order] for key in keys])

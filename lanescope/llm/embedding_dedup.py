@@ -1,6 +1,6 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
-A rotation is learnt on a bounded sample (principal components, then alternating sign codes and
+A rotation is learnt on a bounded sample of SAMPLE vectors (principal components, then alternating sign codes and
 orthogonal Procrustes steps) so that the signs of a rotated vector are a balanced code of 64 bits.
 The code is dealt into tables in ``DEALS`` ways, each cutting it into four substrings of 16 bits;
 vectors that agree in a substring share a bucket.  Inside a bucket codes within ``MAX_BITS`` are
@@ -33,6 +33,8 @@ BITS, SUBSTRING, DEALS = 64, 16, 8
 MAX_BITS = 20
 #: Distinct vectors that the rotation is learnt on, at most, and steps of learning.
 SAMPLE, STEPS = 20_000, 50
+#: Share of made neighbours that the tables have to find, and how many are made.
+RECALL, TRIALS = 0.95, 4000
 TILE = 4096
 #: Pairs of codes compared at a time, about.
 PAIRS = 1 << 20
@@ -78,15 +80,25 @@ def _matrix(units: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(units.to_pylist()), np.float64).reshape(len(units), -1)
 
 
-def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (components x BITS) of unit vectors, by iterative quantisation.
+def learn(sample: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and projection (components x BITS) of unit vectors, by iterative quantisation.
 
-    Vectors of fewer components than BITS have their code filled up by further random projections.
+    Centred at their mean, vectors have balanced codes; but where all lie in a narrow cone, that
+    turns small angles into large ones.  So the centre moves from the mean towards zero until the
+    tables find RECALL of neighbours made for it, with cosines spread from the threshold to 1.
     """
+    for share in (1.0, 0.5, 0.25, 0.0):
+        model = _rotated(sample, share * sample.mean(axis=0))
+        if share == 0 or _found(model, sample, threshold) >= RECALL:
+            return model
+
+
+def _rotated(sample: np.ndarray, centre: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors of fewer components than BITS have their code filled up by random projections."""
     rng = np.random.default_rng(SEED)
-    mean, width = sample.mean(axis=0), sample.shape[1]
+    width = sample.shape[1]
     bits = min(BITS, width)
-    centred = sample - mean
+    centred = sample - centre
     _, axes = np.linalg.eigh(centred.T @ centred)
     axes = axes[:, ::-1][:, :bits]
     reduced = centred @ axes
@@ -99,7 +111,27 @@ def learn(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     while projection.shape[1] < BITS:
         more = np.linalg.qr(rng.normal(size=(width, width)))[0]
         projection = np.concatenate([projection, more], axis=1)[:, :BITS]
-    return mean, projection
+    return centre, projection
+
+
+def neighbours(units: np.ndarray, threshold: float, seed: int = SEED) -> np.ndarray:
+    """For each unit vector one in a random direction from it, at cosines from the threshold to 1."""
+    rng = np.random.default_rng(seed)
+    across = rng.normal(size=units.shape)
+    across -= (across * units).sum(axis=1)[:, None] * units
+    across /= np.maximum(np.linalg.norm(across, axis=1), 1e-12)[:, None]
+    cosine = rng.uniform(threshold, 1.0, len(units))[:, None]
+    return cosine * units + np.sqrt(1 - cosine**2) * across
+
+
+def _found(model: tuple[np.ndarray, np.ndarray], sample: np.ndarray, threshold: float) -> float:
+    """Share of such neighbours whose codes meet in a table."""
+    units = np.resize(sample, (TRIALS, sample.shape[1]))
+    apart = _codes(units, model) ^ _codes(neighbours(units, threshold), model)
+    shared = np.zeros(len(apart), bool)
+    for mask in _masks():
+        shared |= (apart & mask) == 0
+    return float((shared & (np.bitwise_count(apart) <= MAX_BITS)).mean())
 
 
 def _codes(units: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
@@ -122,20 +154,21 @@ def _masks() -> np.ndarray:
     return np.bitwise_or.reduce(np.uint64(1) << _deals().astype(np.uint64), axis=1)
 
 
-def fit(distinct: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def fit(distinct: DataFrame, threshold: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """A model for each vector length, from the SAMPLE vectors with the least digests."""
     chosen = distinct.select("key", "unit").orderBy("key").limit(SAMPLE).toArrow()
     units = chosen.column("unit").combine_chunks()
     sizes = np.array([len(u) // 8 for u in units.to_pylist()], int)
     return {
-        int(size): learn(_matrix(units.take(pa.array(np.flatnonzero(sizes == size)))))
+        int(size): learn(
+            _matrix(units.take(pa.array(np.flatnonzero(sizes == size)))), threshold)
         for size in np.unique(sizes)
     }
 
 
-def coded(distinct: DataFrame) -> DataFrame:
+def coded(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, width, code) of every distinct vector."""
-    models = fit(distinct)
+    models = fit(distinct, threshold)
     shared = distinct.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +334,7 @@ def _sorted_by_bucket(rows: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, links, root) per bucket in which a node has links; ``links`` counts copies too."""
-    rows = bucketed(written(coded(distinct)))
+    rows = bucketed(written(coded(distinct, threshold)))
     near = _sorted_by_bucket(rows).mapInArrow(
         _near_codes,
         "set short, part long, ta int, tb int, tile int, node long, code long",

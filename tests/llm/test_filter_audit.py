@@ -1,0 +1,97 @@
+"""Filter audit against SQL, a plain simulation and hand-made edge cases."""
+
+from __future__ import annotations
+
+import re
+from itertools import permutations
+
+import pytest
+
+import compare
+from lanescope.llm import filter_audit, queries
+
+SMALL = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, source string, mask int, n string"
+LABELS = "doc_id long, quality int, toxic int, part string"
+
+
+def fails(text: str) -> str:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    found = "A" if len(words) < 50 else ""
+    found += "B" if 100 * len(set(words)) < 65 * len(words) else ""
+    found += "C" if 100 * len(re.findall("[A-Z]", text)) > 5 * len(text) else ""
+    return found + ("D" if re.search(r"[#$%&*|]", text) else "")
+
+
+def simulated(docs, labels):
+    good = {i for i, quality, _ in labels if quality == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
+    rows = []
+    for i, text, source in docs:
+        text = text or ""
+        own = fails(text)
+        smaller = i is not None and any(
+            j is not None and j < i and (t or "") == text for j, t, _ in docs)
+        rows.append((source or "", own + ("E" if smaller else ""), i in good, i in toxic))
+    found = {}
+    for part in {r[0] for r in rows}:
+        taken = dict.fromkeys("ABCDE", 0)
+        for order in permutations("ABCDE"):
+            left = [r for r in rows if r[0] == part]
+            gone = []
+            for step, letter in enumerate(order, 1):
+                out = [r for r in left if letter in r[1]]
+                stay = [r for r in left if letter not in r[1]]
+                found[part, "".join(order), step] = [
+                    len(stay), len(out), sum(letter in r[1] for r in gone),
+                    sum(r[1] == letter for r in rows if r[0] == part),
+                    sum(r[2] for r in out), sum(r[3] for r in out), letter,
+                ]
+                taken[letter] += len(out)
+                gone, left = gone + out, stay
+        for key, row in found.items():
+            if key[0] == part:
+                row[6] = taken[row[6]]
+    return {(*key, *row) for key, row in found.items()}
+
+
+def collected(frame):
+    return {tuple(r) for r in frame.select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost",
+        "toxic_lost", "shapley").collect()}
+
+
+@pytest.mark.parametrize("folder", [SMALL, "/root/testdata/sf0.01"])
+def test_query_equals_sql(spark, folder):
+    ours = queries.op12_filter_audit(spark, folder).toPandas()
+    theirs = compare.duck(folder).execute(queries.OP12_SQL).df()
+    assert len(ours) and compare.differences(ours, theirs) is None
+
+
+def test_edges_equal_a_simulation(spark):
+    long = " ".join(f"word{i}" for i in range(60))
+    docs = [
+        (1, long, "a"), (2, long, "b"), (2, long, "b"), (3, long, None), (None, long, "a"), (4, None, ""),
+        (5, "", "a"), (6, "x " * 70_000, "a"), (7, "SHOUT " * 55, "b"), (8, "#" + long, "b"),
+        (9, long + "é\x0b\x0c", "c"), (-3, "#" + long, "a"), (None, "", "c"), (5, "y", "a"),
+        (10, long.replace(" ", "\r\n\t"), "a"), (11, "a" * 200_000, "c"), (12, " ".join("ab"), "c"),
+    ]
+    labels = [(1, 1, 0), (2, 1, 1), (2, 0, None), (5, 1, 0), (8, None, 1), (None, 1, 1), (99, 1, 1), (7, 1, 0)]
+    frame = spark.createDataFrame([(*d, 7, "x") for d in docs], DOCS).repartition(3)
+    marks = spark.createDataFrame([(*m, "x") for m in labels], LABELS)
+    assert collected(filter_audit.audit(frame, marks)) == simulated(docs, labels)
+    # No labels: the same, but for what is lost.
+    assert collected(filter_audit.audit(frame, marks.limit(0))) == simulated(docs, [])
+    assert filter_audit.audit(frame.limit(0), marks).collect() == []
+
+
+def test_hot_texts_and_ids_are_counted_before_they_meet(spark):
+    docs = spark.range(0, 3000, 1, 6).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN -1L WHEN id % 3 = 1 THEN NULL ELSE id END AS doc_id",
+        "CASE WHEN id % 2 = 0 THEN 'same' ELSE concat('t', id) END AS text", "'s' AS source",
+    )
+    labels = spark.createDataFrame([(-1, 1, 1, "x")], LABELS)
+    cells = filter_audit.cells(docs, labels).collect()
+    assert sum(c.n for c in cells) == 3000 and sum(c.good for c in cells) == 1000
+    copies = sum(c.n for c in cells if c["mask"] & 16)
+    assert copies == 500  # the even ones of the last third
