@@ -2,7 +2,9 @@
 
 The model is an autoregression of order 0 to ``max_p`` on the ``d`` times differenced series, by
 least squares, the order with the least AIC. All orders are fitted on the same rows, those with all
-``max_p`` lags, so that their AICs compare. Moving-average terms are not part of this family.
+``max_p`` lags, so that their AICs compare. ``d`` is given, or chosen for each series by
+``stationarity.choose_d``. Moving-average terms are in ``arma``, whose models the same backtest and
+forecast serve.
 
 Spark computes the lags and sums the cross-products per series; every order's normal equations are
 a corner of that one small matrix. Python sees one row per series when it solves them, and many
@@ -32,6 +34,7 @@ from lanescope.operators.forecast import (
     _backtest_columns,
     _forecast_columns,
 )
+from lanescope.operators.stationarity import MAX_D, differenced
 from lanescope.schema import NORMAL_90
 
 MAX_P = 5
@@ -40,13 +43,24 @@ EXACT_FIT = 1e-12  # share of the variance below which a residual counts as roun
 CHUNK = 1_000_000  # forecast cells computed at a time
 
 
-def _moments(split: DataFrame, keys: Sequence[str], max_p: int, d: int) -> DataFrame:
+def training_rows(split: DataFrame, keys: Sequence[str], d: int | DataFrame) -> DataFrame:
+    """Training hours with ``d`` and ``z``, the value differenced so often.
+
+    ``d`` is a number or a table of keys and ``d``, as ``stationarity.choose_d`` returns it.
+    """
+    rows = split.where(F.col("split") == TRAIN).withColumn("z", F.col("y"))
+    if isinstance(d, int):
+        return rows.withColumns({"d": F.lit(d), "z": differenced(keys, d)})
+    rows = rows.join(d.select(*keys, "d"), list(keys))
+    levels = [F.when(F.col("d") == k, differenced(keys, k)) for k in range(MAX_D + 1)]
+    return rows.withColumn("z", F.coalesce(*levels))
+
+
+def _moments(split: DataFrame, keys: Sequence[str], max_p: int, d: int | DataFrame) -> DataFrame:
     """Per series: cross-products of (1, lag 1 ... lag max_p, value) and the last training values."""
     by_key = Window.partitionBy(*keys)
     in_time = by_key.orderBy("position")
-    rows = split.where(F.col("split") == TRAIN).withColumn("z", F.col("y"))
-    for _ in range(d):
-        rows = rows.withColumn("z", F.col("z") - F.lag("z").over(in_time))
+    rows = training_rows(split, keys, d)
     # Centred values keep the cross-products well conditioned.
     rows = rows.withColumns({
         "center": F.avg("z").over(by_key), "n_train": F.count("*").over(by_key).cast("int"),
@@ -58,8 +72,9 @@ def _moments(split: DataFrame, keys: Sequence[str], max_p: int, d: int) -> DataF
         F.coalesce(F.sum(F.when(complete, vector[i] * vector[j])), F.lit(0.0))
         for i in range(len(vector)) for j in range(i, len(vector))
     ]
-    recent = F.col("position") > F.col("n_train") - (max_p + d)
+    recent = F.col("position") > F.col("n_train") - (max_p + F.col("d"))
     return rows.groupBy(*keys).agg(
+        F.first("d").alias("d"),
         F.first("n_train").alias("n_train"),
         F.first(F.col("hours") - F.col("n_train")).alias("n_test"),
         F.max_by("y", "position").alias("last_y"),
@@ -74,13 +89,16 @@ def _moments(split: DataFrame, keys: Sequence[str], max_p: int, d: int) -> DataF
     )
 
 
-def fit_ar(split: DataFrame, keys: Sequence[str], max_p: int = MAX_P, d: int = 0) -> DataFrame:
+def fit_ar(
+    split: DataFrame, keys: Sequence[str], max_p: int = MAX_P, d: int | DataFrame = 0
+) -> DataFrame:
     """One row per series: order, coefficients, residual deviation, AIC and row counts.
 
+    ``d`` is 0, 1 or 2 for all series, or a table with the ``d`` of each (``stationarity.choose_d``).
     ``phi`` is NULL where no order can be used: a constant series or one with too few rows. Orders
     that are singular or not stationary are left out of the choice.
     """
-    if not 0 <= d <= 2:
+    if isinstance(d, int) and not 0 <= d <= MAX_D:
         raise ValueError("d is 0, 1 or 2")
     moments = _moments(split, keys, max_p, d)
     schema = StructType([
@@ -101,20 +119,26 @@ def fit_ar(split: DataFrame, keys: Sequence[str], max_p: int = MAX_P, d: int = 0
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _solve(batch, max_p, d)[schema.names]
+            yield _solve(batch, max_p)[schema.names]
 
     return moments.mapInPandas(solve, schema)
 
 
-def _solve(batch: pd.DataFrame, max_p: int, d: int) -> pd.DataFrame:
-    """Solve every order for every series of the batch and keep the best order of each."""
+def cross_products(batch: pd.DataFrame, max_p: int) -> np.ndarray:
+    """The symmetric matrices of the ``moments`` of each series."""
     size = max_p + 2
-    count = len(batch)
-    grams = np.zeros((count, size, size))
+    grams = np.zeros((len(batch), size, size))
     upper = np.triu_indices(size)
-    if count:
+    if len(batch):
         grams[:, upper[0], upper[1]] = np.stack(batch["moments"].to_numpy())
         grams[:, upper[1], upper[0]] = grams[:, upper[0], upper[1]]
+    return grams
+
+
+def _solve(batch: pd.DataFrame, max_p: int) -> pd.DataFrame:
+    """Solve every order for every series of the batch and keep the best order of each."""
+    count = len(batch)
+    grams = cross_products(batch, max_p)
     n, total = grams[:, 0, 0], grams[:, -1, -1]
     best = {
         "aic": np.full(count, np.inf), "p": np.zeros(count, dtype=int),
@@ -143,7 +167,6 @@ def _solve(batch: pd.DataFrame, max_p: int, d: int) -> pd.DataFrame:
     intercept = best["constant"] + center * (1 - best["phi"].sum(axis=1))
     blank = np.where(found, 0.0, np.nan)
     return batch.assign(
-        d=d,
         n=n.astype(int),
         p=pd.Series(best["p"], index=batch.index, dtype="Int32").where(found),
         phi=[row[:p] if ok else None for row, p, ok in zip(best["phi"], best["p"], found)],
@@ -192,14 +215,17 @@ def _paths(model: DataFrame, keys: Sequence[str], extra: int = 0) -> DataFrame:
                 start += rows
 
     columns = [*keys, "d", "n_train", "n_test", "last_y", "phi", "intercept", "sigma", "tail",
-               "last_time"]
+               "last_time", *[c for c in ("theta", "shocks") if c in model.columns]]
     return model.select(*columns).mapInPandas(predict, schema)
 
 
 def _predict(
     batch: pd.DataFrame, skipped: np.ndarray, reach: np.ndarray, keys: list[str]
 ) -> pd.DataFrame:
-    """Run the recursion for all series at once; a row per hour ahead, beyond those skipped."""
+    """Run the recursion for all series at once; a row per hour ahead, beyond those skipped.
+
+    Models with ``theta`` carry the last ``shocks``, newest first; they act as long as they last.
+    """
     count, steps = len(batch), int(reach.max())
     found = batch["phi"].notna().to_numpy()
     weights = [
@@ -212,6 +238,7 @@ def _predict(
         lags[row, : len(own)] = own
         recent = np.asarray(tail if tail is not None and len(tail) else [last_y])[::-1][:width]
         past[row, : len(recent)] = recent
+    theta, shocks = (_padded(batch.get(name), count) for name in ("theta", "shocks"))
     drift = np.where(found, batch["intercept"].to_numpy(dtype=float), 0.0)
     path, spread = np.empty((count, steps)), np.empty((count, steps))
     response = np.zeros((count, width))  # effect of one shock on the latest hours
@@ -219,9 +246,11 @@ def _predict(
     variance = np.ones(count)
     for step in range(steps):
         path[:, step] = drift + (lags * past).sum(axis=1)
+        path[:, step] += (theta[:, step:] * shocks[:, : max(0, shocks.shape[1] - step)]).sum(axis=1)
         past = np.column_stack([path[:, step], past[:, :-1]])
         spread[:, step] = np.sqrt(variance)
-        response = np.column_stack([(lags * response).sum(axis=1), response[:, :-1]])
+        own = (lags * response).sum(axis=1) + (theta[:, step] if step < theta.shape[1] else 0.0)
+        response = np.column_stack([own, response[:, :-1]])
         variance = variance + response[:, 0] ** 2
     sigma = np.where(found, batch["sigma"].to_numpy(dtype=float), np.nan)
     half = NORMAL_90 * sigma[:, None] * spread
@@ -237,6 +266,15 @@ def _predict(
     )
 
 
+def _padded(lists: pd.Series | None, count: int) -> np.ndarray:
+    """Lists of numbers as rows of a table, filled up with zeros."""
+    rows = [] if lists is None else [[] if row is None else list(row) for row in lists]
+    table = np.zeros((count, max([0, *map(len, rows)])))
+    for i, row in enumerate(rows):
+        table[i, : len(row)] = row
+    return table
+
+
 def _on_levels(phi: Sequence[float], d: int) -> np.ndarray:
     """Lag weights on the undifferenced series: the product with ``d`` unit-root factors."""
     polynomial = np.concatenate([[1.0], -np.asarray(phi, dtype=float)])

@@ -75,6 +75,7 @@ LOS_THRESHOLDS = [
 ]
 TEST_SHARE = 0.3
 NORMAL_90 = 1.6448536269514722  # two-sided 90 % quantile of the normal distribution
+KPSS_5 = 0.463  # level of the stationarity statistic exceeded by chance in 5 of 100 series
 MAPE_FLOOR = 2.220446049250313e-16
 LOCAL_ZONE = "Asia/Kuala_Lumpur"
 DEFAULT_WINDOW_DAYS = 2

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 CAMERAS = """
 cameras AS (
   SELECT s.s_suppkey AS camera_id, 'EQ-' || CAST(s.s_nationkey AS VARCHAR) AS equipment_id,
@@ -233,7 +235,40 @@ SELECT destination, datetime + INTERVAL 1 HOUR * CAST(step AS INT), NULL,
 FROM ahead_of"""
 
 
-def _by_order() -> str:
+STATIONARITY = f"""{SPLIT}, levels AS (
+  SELECT destination, position, unnest([0, 1, 2]) AS d, unnest([
+           y, y - lag(y) OVER w, y - 2 * lag(y) OVER w + lag(y, 2) OVER w]) AS v
+  FROM split WHERE split = 'train' WINDOW w AS (PARTITION BY destination ORDER BY position)
+), deviations AS (
+  SELECT destination, d, position, v, v - avg(v) OVER g AS e, count(*) OVER g AS n,
+         CAST(floor(3 * sqrt(count(*) OVER g) / 13) AS INT) AS lags
+  FROM levels WHERE v IS NOT NULL WINDOW g AS (PARTITION BY destination, d)
+), products AS (
+  -- Bartlett weights on the autocovariances, lag by lag.
+  SELECT destination, d, sum(a.e * b.e * CASE l WHEN 0 THEN 1.0 ELSE 2 * (1 - l / (a.lags + 1.0)) END)
+           AS long_run
+  FROM (SELECT destination, d, position - l AS position, l, lags, e
+        FROM (SELECT *, unnest(range(0, lags + 1)) AS l FROM deviations)) a
+       JOIN deviations b USING (destination, d, position)
+  GROUP BY 1, 2
+), cumulated AS (
+  SELECT *, sum(e) OVER (PARTITION BY destination, d ORDER BY position) AS c FROM deviations
+), statistics AS (
+  SELECT destination, d, max(n) AS n, max(lags) AS lags,
+         CASE WHEN sum(e * e) > 1e-20 * sum(v * v) AND max(n) > 1
+              THEN sum(c * c) / (max(n) * max(long_run)) END AS statistic
+  FROM cumulated JOIN products USING (destination, d) GROUP BY 1, 2
+), choice AS (
+  SELECT destination, max(statistic) FILTER (d = 0) AS level_0,
+         max(statistic) FILTER (d = 1) AS level_1, max(statistic) FILTER (d = 2) AS level_2,
+         CAST(max(n) FILTER (d = 0) AS INT) AS n, CAST(max(lags) FILTER (d = 0) AS INT) AS lags,
+         CAST(coalesce(min(d) FILTER (statistic IS NULL OR statistic <= CAST(0.463 AS DOUBLE)), 2) AS INT)
+           AS d
+  FROM statistics GROUP BY 1
+)"""
+
+
+def _by_order(chosen: bool = False) -> str:
     """Autoregressions of order 0 to 5 by successive orthogonalisation, least AIC.
 
     Not the normal equations: each lag is freed of the lags before it, which gives every order's
@@ -242,11 +277,17 @@ def _by_order() -> str:
     """
     lags = range(1, 6)
     names = [f"u{k}" for k in lags]
+    values = "SELECT *, 0 AS d, y AS v FROM split WHERE split = 'train'"
+    if chosen:
+        values = """SELECT s.*, d, CASE d WHEN 0 THEN y WHEN 1 THEN y - lag(y) OVER w
+                     ELSE y - 2 * lag(y) OVER w + lag(y, 2) OVER w END AS v
+  FROM split s JOIN (SELECT destination, d FROM choice) USING (destination)
+  WHERE split = 'train' WINDOW w AS (PARTITION BY s.destination ORDER BY position)"""
     steps = [f"""train_rows AS (
-  SELECT destination, position, y, avg(y) OVER p AS center,
-         y - avg(y) OVER p AS z, CAST(count(*) OVER p AS INT) AS n_train,
+  SELECT destination, position, d, y, v, avg(v) OVER p AS center,
+         v - avg(v) OVER p AS z, CAST(count(*) OVER p AS INT) AS n_train,
          CAST(hours - count(*) OVER p AS INT) AS n_test
-  FROM split WHERE split = 'train' WINDOW p AS (PARTITION BY destination)
+  FROM ({values}) WINDOW p AS (PARTITION BY destination)
 ), lagged AS (
   SELECT *, {", ".join(f"lag(z, {k}) OVER w AS l{k}" for k in lags)}
   FROM train_rows WINDOW w AS (PARTITION BY destination ORDER BY position)
@@ -264,8 +305,8 @@ def _by_order() -> str:
         freed = "".join(f", u{j} - s{k}{j} * u{k} AS u{j}" for j in later)
         dropped = ", ".join(["r", *names[k - 1:]])
         steps.append(f"""c{k} AS (
-  SELECT *, sum(r * r) OVER p AS sse{k - 1}, sum(r * u{k}) OVER p / sum(u{k} * u{k}) OVER p AS b{k}
-         {shares}
+  SELECT *, sum(r * r) OVER p AS sse{k - 1}, sum(r * u{k}) OVER p / sum(u{k} * u{k}) OVER p AS b{k},
+         sum(u{k} * u{k}) OVER p AS d{k} {shares}
   FROM g{k - 1} WINDOW p AS (PARTITION BY destination)
 ), g{k} AS (
   SELECT * EXCLUDE ({dropped}), r - b{k} * u{k} AS r {freed} FROM c{k}
@@ -316,13 +357,16 @@ def _by_order() -> str:
   SELECT * FROM candidates
   QUALIFY row_number() OVER (PARTITION BY destination ORDER BY aic, p) = 1
 ), model AS (
-  SELECT t.destination, b.p, 0 AS d, t.n_train, t.n_test, CAST(b.n AS INT) AS n, t.last_y,
+  SELECT t.destination, b.p, t.d, t.n_train, t.n_test,
+         CAST(coalesce(b.n, greatest(t.n_train - t.d - 5, 0)) AS INT) AS n, t.last_y,
          center * (1 - ({weights})) + mz - ({means}) AS intercept,
          sqrt(sse / (b.n - b.p - 1)) AS sigma, aic,
          {", ".join(f"f{k} AS phi_{k}" for k in lags)}, {", ".join(f"y{k}" for k in lags)}
-  FROM (SELECT destination, {lengths}, {recent} FROM train_rows GROUP BY destination) t
+  FROM (SELECT destination, max(d) AS d, {lengths}, {recent} FROM train_rows GROUP BY destination) t
        LEFT JOIN best b ON t.destination = b.destination
 )""")
+    if chosen:
+        return STATIONARITY + ", " + ", ".join(steps)
     phi = [f"coalesce(phi_{k}, {'CASE WHEN p IS NULL THEN 1 ELSE 0 END' if k == 1 else 0})" for k in lags]
     start = " + ".join(f"{phi[k - 1]} * coalesce(y{k}, 0)" for k in lags)
     on = " + ".join(f"f{k} * v{k}" for k in lags)
@@ -353,6 +397,66 @@ def _by_order() -> str:
     return SPLIT.replace("WITH", "WITH RECURSIVE", 1) + ", " + ", ".join(steps)
 
 
+def _summary() -> str:
+    """Standard errors by the inverse of the orthogonalisation; residuals and their moments."""
+    lags = range(1, 6)
+    inverse, errors = [], []
+    for m in lags:
+        inverse.append(f"1.0 AS v{m}{m}")
+        for j in range(m - 1, 0, -1):
+            rest = " + ".join(f"s{j}{i} * v{i}{m}" for i in range(j + 1, m + 1))
+            inverse.append(f"-({rest}) AS v{j}{m}")
+    for j in lags:
+        parts = " + ".join(f"CASE WHEN p >= {m} THEN v{j}{m} * v{j}{m} / d{m} ELSE 0 END" for m in range(j, 6))
+        errors.append(f"CASE WHEN p >= {j} THEN sigma * sqrt({parts}) END AS phi_{j}_se")
+    means = " + ".join(
+        f"CASE WHEN p >= {m} THEN pow({' + '.join(f'(center + m{j}) * v{j}{m}' for j in range(1, m + 1))}, 2)"
+        f" / d{m} ELSE 0 END" for m in lags
+    )
+    expected = " + ".join(f"coalesce(phi_{k}, 0) * v_{k}" for k in lags)
+    before = ", ".join(f"lag(v, {k}) OVER w AS v_{k}" for k in lags)
+    autocorrelations = ", ".join(f"sum(e * e_{k}) / sum(e * e) AS a{k}" for k in range(1, 11))
+    box = " + ".join(f"a{k} * a{k} / (n - {k})" for k in range(1, 11))
+    tail = " + ".join(f"pow(ljung_box / 2, {k}) / {math.factorial(k)}" for k in range(5))
+    shown = ", ".join(f"phi_{k}, phi_{k}_se, phi_{k} / phi_{k}_se AS phi_{k}_z" for k in lags)
+    return f"""{_by_order(chosen=True)}, inverted AS (SELECT *, {", ".join(inverse)} FROM sums
+), errors AS (
+  SELECT i.destination, {", ".join(errors)}, sigma * sqrt(1.0 / i.n + {means}) AS intercept_se
+  FROM inverted i JOIN (SELECT destination, p, sigma FROM model) USING (destination)
+), residual AS (
+  SELECT destination, n, row_number() OVER (PARTITION BY destination ORDER BY position) AS place,
+         v - intercept - ({expected}) AS raw
+  FROM (SELECT destination, position, v, {before} FROM train_rows
+        WINDOW w AS (PARTITION BY destination ORDER BY position))
+       JOIN model USING (destination)
+  WHERE v_5 IS NOT NULL AND p IS NOT NULL
+), centred AS (
+  SELECT *, raw - avg(raw) OVER (PARTITION BY destination) AS e FROM residual
+), shifted AS (
+  SELECT *, {", ".join(f"lag(e, {k}) OVER w AS e_{k}" for k in range(1, 11))} FROM centred
+  WINDOW w AS (PARTITION BY destination ORDER BY place)
+), tests AS (
+  SELECT destination, sum(e * e) / max(n) AS var, sum(e * e * e) / max(n) AS m3,
+         sum(pow(e, 4)) / max(n) AS m4, {autocorrelations},
+         sum(e * e) FILTER (place > n - (n + 1) // 3) / sum(e * e) FILTER (place <= (n + 1) // 3)
+           AS heteroskedasticity
+  FROM shifted GROUP BY destination
+), told AS (
+  SELECT m.* EXCLUDE (y1, y2, y3, y4, y5, n_test, last_y), x.* EXCLUDE (destination), heteroskedasticity,
+         -n / 2.0 * (ln(2 * pi() * var) + 1) AS log_likelihood, n * ln(var) + (p + 2) * ln(n) AS bic,
+         m3 / pow(var, 1.5) AS skewness, m4 / (var * var) AS kurtosis,
+         CASE WHEN n > 10 THEN n * (n + 2) * ({box}) END AS ljung_box
+  FROM model m LEFT JOIN errors x ON m.destination = x.destination
+       LEFT JOIN tests t ON m.destination = t.destination
+), judged AS (
+  SELECT *, n / 6.0 * (pow(skewness, 2) + pow(kurtosis - 3, 2) / 4) AS jarque_bera FROM told
+)
+SELECT destination, p, d, n_train, n, intercept, intercept_se, intercept / intercept_se AS intercept_z,
+       {shown}, sigma, log_likelihood, aic, bic, ljung_box, exp(-ljung_box / 2) * ({tail}) AS ljung_box_p,
+       jarque_bera, exp(-jarque_bera / 2) AS jarque_bera_p, skewness, kurtosis, heteroskedasticity
+FROM judged"""
+
+
 SCORES = """
 SELECT destination, count(*) AS n_test,
        avg(abs(test_data - prediction) / greatest(abs(test_data), 2.220446049250313e-16)) AS mape,
@@ -484,6 +588,18 @@ SELECT datetime, destination, "LOS", CAST({band} AS INT) AS band FROM hourly""",
         "camera_los_forecast": _by_camera(FORECAST),
         "camera_los_rmse": _by_camera(f"""{BACKTEST}, scores AS ({SCORES})
 SELECT destination, n_test, round_even(rmse, 6) AS rmse FROM scores"""),
+        "los_stationarity": f"{STATIONARITY} SELECT * FROM choice",
+        "camera_los_stationarity": _by_camera(f"{STATIONARITY} SELECT * FROM choice"),
+        "camera_los_model_chosen_d": _by_camera(f"""{_by_order(chosen=True)}
+SELECT destination, p, d, n_train, n_test, n, last_y, {', '.join(
+    f"round_even({c}, 6) + CAST(0 AS DOUBLE) AS {c}"
+    for c in ("intercept", "sigma", "aic", *(f"phi_{k}" for k in range(1, 6))))}
+FROM model"""),
+        "los_model_summary": _summary(),
+        "los_model_chosen_d": f"""{_by_order(chosen=True)}
+SELECT destination, p, d, n_train, n_test, n, last_y, intercept, sigma, aic, phi_1, phi_2, phi_3,
+       phi_4, phi_5
+FROM model""",
         "los_model_by_order": f"""{by_order}
 SELECT destination, p, d, n_train, n_test, n, last_y, intercept, sigma, aic, phi_1, phi_2, phi_3,
        phi_4, phi_5
