@@ -19,15 +19,21 @@ def vehicles(kind: str) -> Column:
     return F.sum(F.when(F.col("vehicle_type") == kind, F.col("agg_count")).otherwise(0))
 
 
+def lane_measured() -> Column:
+    return (F.col("avg_speed") > 0) & ~F.col("vehicle_type").isin(*NOT_A_LANE)
+
+
+def motor_measured() -> Column:
+    return (F.col("avg_speed") > 0) & (F.col("vehicle_type") == "motorbike")
+
+
 def lane_speed() -> Column:
     """Mean measured speed of lane vehicles, every row with the same weight."""
-    measured = (F.col("avg_speed") > 0) & ~F.col("vehicle_type").isin(*NOT_A_LANE)
-    return F.avg(F.when(measured, F.col("avg_speed")))
+    return F.avg(F.when(lane_measured(), F.col("avg_speed")))
 
 
 def motor_speed() -> Column:
-    measured = (F.col("avg_speed") > 0) & (F.col("vehicle_type") == "motorbike")
-    return F.avg(F.when(measured, F.col("avg_speed")))
+    return F.avg(F.when(motor_measured(), F.col("avg_speed")))
 
 
 def measured_zone() -> Column:

@@ -56,6 +56,11 @@ def event_facts(events: DataFrame, cameras: DataFrame, slicer: Slicer) -> DataFr
         .groupBy(*EVENT_KEYS)
         .agg(F.avg(confidence_of(F.col("_number"))).alias("mean"))
     )
+    return event_facts_of(groups, cameras, slicer)
+
+
+def event_facts_of(groups: DataFrame, cameras: DataFrame, slicer: Slicer) -> DataFrame:
+    """Event facts of aggregated groups, which hold EVENT_KEYS and ``mean``."""
     # A camera listed twice on one road repeats every detection alike and leaves the mean as it is.
     facts = _join_cameras(groups, cameras_on_roads(cameras, slicer.roads), ["address"])
     return facts.withColumn("confidence", F.col("mean").cast("double")).select(*EVENT_FACTS)
@@ -76,6 +81,11 @@ def volume_facts(volumes: DataFrame, cameras: DataFrame, slicer: Slicer) -> Data
             F.count_distinct(measured_zone()).alias("indicator"),
         )
     )
+    return volume_facts_of(groups, cameras, slicer)
+
+
+def volume_facts_of(groups: DataFrame, cameras: DataFrame, slicer: Slicer) -> DataFrame:
+    """Volume facts of aggregated groups: VOLUME_KEYS, counts, mean speeds and ``indicator``."""
     facts = _join_cameras(
         groups, cameras_on_roads(cameras, slicer.roads), ["address", "equipment_id"]
     )

@@ -5,8 +5,9 @@ from lanescope.plans.dashboards import (
     settle,
     volume_dashboard,
 )
+from lanescope.plans.fact_lake import add_to_state, read_state, replace_days
 
 __all__ = [
-    "event_dashboard", "export", "forecast_dashboard", "settle",
-    "volume_dashboard",
+    "add_to_state", "event_dashboard", "export", "forecast_dashboard", "read_state", "replace_days",
+    "settle", "volume_dashboard",
 ]

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from lanescope.operators import autoregression, events, facts, forecast, hourly, volume
+from lanescope.session import shared_root
 from lanescope.slicer import Slicer
 from lanescope.sources.export import write_csv
 
@@ -28,12 +28,10 @@ def settle(table: DataFrame, scratch: str | None = None) -> DataFrame:
 
     A lost executor costs nothing that is already there, and later results still read only their
     columns and rows. ``scratch`` is a folder on storage that the whole cluster shares, by default
-    the session's ``spark.checkpoint.dir``; where that is unset too, as on one machine, a temporary
-    folder.
+    that of ``shared_root``.
     """
     spark = table.sparkSession
-    scratch = scratch or spark.conf.get("spark.checkpoint.dir", None)
-    scratch = scratch or "file://" + tempfile.mkdtemp(prefix="lanescope-")
+    scratch = scratch or shared_root(spark)
     path = f"{scratch.rstrip('/')}/settled-{uuid.uuid4().hex}"
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)

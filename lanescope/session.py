@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -39,3 +42,23 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
+
+
+@functools.cache
+def _folder_of_this_process() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="lanescope-")
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session whose tasks run in the driver's own process takes a temporary
+    folder of that process; any other has no folder that all its executors see, and fails.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if master == "local" or master.startswith("local["):
+        return _folder_of_this_process()
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")

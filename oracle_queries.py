@@ -512,6 +512,8 @@ FROM (SELECT unnest(generate_series(date_trunc('hour', max(ts)) - INTERVAL 2 DAY
         "volume_facts_one_road": (
             f"{_volume_facts(NARROW)} SELECT * FROM facts ORDER BY datetime DESC"
         ),
+        "event_facts_from_state": f"{events} SELECT * FROM facts ORDER BY datetime DESC",
+        "volume_facts_from_state": f"{volumes} SELECT * FROM facts ORDER BY datetime DESC",
         "event_total": f"{events} SELECT count(*) AS events FROM facts",
         "event_count_by_type": f"""{events}
 SELECT event_type, count(camera_id) AS events FROM facts

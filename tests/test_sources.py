@@ -1,4 +1,8 @@
+import os
+import subprocess
+import sys
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from conftest import MEDIUM, SMALL, at
@@ -143,5 +147,40 @@ def test_dashboards_and_exports(spark, tmp_path):
     lanes = spark.read.option("header", True).csv(paths[2])
     assert lanes.count() == board["event_count_by_lane"].count()
     # The facts were computed once: later results read them, and only the columns they need.
+    files = board["confidence_by_type"].inputFiles()
+    assert files and all(scratch in file for file in files)
     plan = board["confidence_by_type"]._jdf.queryExecution().executedPlan().toString()
-    assert scratch in plan and "address" not in plan.split("ReadSchema")[1]
+    assert "address" not in plan.split("ReadSchema")[1]
+
+
+def test_the_shared_folder_without_a_setting(spark, monkeypatch):
+    from lanescope import session
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        conf = Conf()
+
+    Session.conf.update({"spark.checkpoint.dir": "hdfs://lake/scratch/", "spark.master": "yarn"})
+    assert session.shared_root(Session) == "hdfs://lake/scratch"
+    for master in ("yarn", "spark://host:1", "local-cluster[2,1,512]"):
+        Session.conf = Conf({"spark.master": master})
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_root(Session)
+    Session.conf = Conf({"spark.master": "local[4]"})
+    root = session.shared_root(Session)
+    assert root.startswith("file://") and root == session.shared_root(Session)
+
+
+def test_a_session_without_defaults_settles_tables(tmp_path):
+    """Another process whose Spark has no configuration folder."""
+    code = (
+        "from lanescope import plans; from lanescope.session import local_session; "
+        "from lanescope.plans.dashboards import settle; "
+        "s = local_session(2, '1g'); print(settle(s.range(7)).count())"
+    )
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).parent.parent)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("7"), done.stderr[-2000:]
