@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lanescope.session import shared_root
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``.
-
-    Only where that is unset, as in tests on one machine, a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lanescope-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lanescope-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share."""
+    return f"{shared_root(spark)}/lanescope-{uuid.uuid4().hex}"
 
 
 def written(frame: DataFrame, **options: str) -> DataFrame:
