@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lanescope.session import shared_root
@@ -20,3 +23,12 @@ def written(frame: DataFrame, **options: str) -> DataFrame:
     path = shared_folder(spark)
     frame.write.options(**options).parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def release() -> None:
+    """Give back to the system what numpy and Arrow have freed: a driver lives on after a training."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform.startswith("linux"):
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+        if trim is not None:
+            trim(0)
