@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +16,10 @@ def confidence_number(event_type: Column, description: Column) -> Column:
 
     Empty where there is none, NULL where the event type carries no confidence.
     """
-    fields = F.create_map(*(F.lit(text) for text in chain.from_iterable(CONFIDENCE_FIELD.items())))
-    after = F.call_function("substring_index", description, fields[event_type], F.lit(-1))
+    field = F.lit(None).cast("string")
+    for kind, name in CONFIDENCE_FIELD.items():
+        field = F.when(event_type == kind, F.lit(name)).otherwise(field)
+    after = F.call_function("substring_index", description, field, F.lit(-1))
     return F.regexp_extract(F.substring_index(after, ",", 1), NUMERIC_PREFIX, 1)
 
 

@@ -84,3 +84,19 @@ VOLUME_FACTS = [
     "datetime", "address", "equipment_id", "camera_id", "destination", "POV",
     *COUNTED_VEHICLES.values(), "lane_speed", "motor_speed", "indicator", "LOS",
 ]
+
+
+def collated(
+    schema: StructType, collation: str = "UTF8_LCASE", plain: tuple[str, ...] = ("description",)
+) -> StructType:
+    """The schema with text that compares by ``collation``, as a source database may do.
+
+    Columns ``plain`` are parsed, not compared, and stay as they are.  Selections, joins and groups over tables read with it then take texts as equal that the source
+    takes as equal; the values stay as they are.  Spark pushes no filter on such a column into a
+    file reader, as files know equality by bytes only: time ranges and days still are.
+    """
+    return StructType([
+        StructField(f.name, StringType(collation), f.nullable)
+        if isinstance(f.dataType, StringType) and f.name not in plain else f
+        for f in schema
+    ])

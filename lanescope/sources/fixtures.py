@@ -46,6 +46,15 @@ def cameras(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def camera_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """The cameras as a text export may hold them: some ids and coordinates are no numbers."""
+    texts = cameras(spark, folder).select(*[F.col(f.name).cast("string") for f in CAMERAS])
+    return texts.withColumns({
+        "camera_id": F.expr("CASE WHEN camera_id % 7 = 3 THEN concat('C', camera_id) ELSE camera_id END"),
+        "longitude": F.expr("CASE WHEN camera_id % 5 = 1 THEN 'unknown' ELSE longitude END"),
+    })
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Detections with missing directions and zones, and descriptions without the field."""
     return conform(

@@ -512,6 +512,22 @@ FROM (SELECT unnest(generate_series(date_trunc('hour', max(ts)) - INTERVAL 2 DAY
         "volume_facts_one_road": (
             f"{_volume_facts(NARROW)} SELECT * FROM facts ORDER BY datetime DESC"
         ),
+        "camera_unreadable_values": f"""
+WITH {CAMERAS}, texts AS (
+  SELECT CASE WHEN camera_id % 7 = 3 THEN 'C' || camera_id ELSE CAST(camera_id AS VARCHAR) END AS camera_id,
+         equipment_id, address, CAST(latitude AS VARCHAR) AS latitude,
+         CASE WHEN camera_id % 5 = 1 THEN 'unknown' ELSE CAST(longitude AS VARCHAR) END AS longitude
+  FROM cameras
+)
+SELECT 'camera_id' AS "column", count(camera_id) AS present,
+       count(*) FILTER (camera_id IS NOT NULL AND try_cast(camera_id AS BIGINT) IS NULL) AS unreadable FROM texts
+UNION ALL SELECT 'equipment_id', count(equipment_id), 0 FROM texts
+UNION ALL SELECT 'address', count(address), 0 FROM texts
+UNION ALL SELECT 'latitude', count(latitude),
+       count(*) FILTER (latitude IS NOT NULL AND try_cast(latitude AS DOUBLE) IS NULL) FROM texts
+UNION ALL SELECT 'longitude', count(longitude),
+       count(*) FILTER (longitude IS NOT NULL AND try_cast(longitude AS DOUBLE) IS NULL) FROM texts""",
+        "event_facts_collated": f"{events} SELECT * FROM facts ORDER BY datetime DESC",
         "event_facts_from_state": f"{events} SELECT * FROM facts ORDER BY datetime DESC",
         "volume_facts_from_state": f"{volumes} SELECT * FROM facts ORDER BY datetime DESC",
         "event_total": f"{events} SELECT count(*) AS events FROM facts",

@@ -41,15 +41,38 @@ def indexed(table, *keys):
 
 def test_total_and_counts(rows, frame):
     assert events.event_total(rows).first().events == len(frame)
-    expected = frame.groupby("event_type")["camera_id"].count()
-    assert indexed(events.event_count_by_type(rows), "event_type").events.to_dict() == expected.to_dict()
+    expected = {}
+    for kind, camera in zip(frame.event_type, frame.camera_id):
+        if pd.notna(kind):
+            expected[kind] = expected.get(kind, 0) + pd.notna(camera)
+    assert {r.event_type: r.events for r in events.event_count_by_type(rows).collect()} == expected
 
 
 def test_confidence_by_type(rows, frame):
-    expected = frame.groupby("event_type")["confidence"].mean().dropna()
-    ours = indexed(events.confidence_by_type(rows), "event_type")
-    pd.testing.assert_series_equal(ours.confidence, expected, check_names=False)
-    assert ours.percent.tolist() == [float(f"{x * 100:.2f}") for x in expected]
+    said = {}
+    for kind, value in zip(frame.event_type, frame.confidence):
+        if pd.notna(kind) and pd.notna(value):
+            said.setdefault(kind, []).append(value)
+    ours = {r.event_type: r for r in events.confidence_by_type(rows).collect()}
+    assert set(ours) == set(said)
+    for kind, values in said.items():
+        mean = sum(values) / len(values)
+        assert ours[kind].confidence == pytest.approx(mean)
+        assert ours[kind].percent == pytest.approx(100 * mean, abs=0.00501)
+
+
+def test_counts_of_a_few_rows(spark):
+    few = spark.createDataFrame([
+        (at(1), "R", 4, "IN", "b2t_1", "accident", "car", 0.5),
+        (at(1), "R", 4, "IN", "b2t_1", "accident", "van", 0.25),
+        (at(2), "R", 9, "IN", "t2b_1", "error", "car", None),
+        (at(2), "R", None, "IN", "t2b_1", "error", "car", None),
+    ], FACTS)
+    assert events.event_total(few).first().events == 4
+    assert {tuple(r) for r in events.event_count_by_type(few).collect()} == {("accident", 2), ("error", 1)}
+    assert [tuple(r) for r in events.confidence_by_type(few).collect()] == [("accident", 0.375, 37.5)]
+    frequent = [(r.camera_id, r.events) for r in events.event_frequency_by_camera(few).collect()]
+    assert frequent[0] == (4, 2) and set(frequent[1:]) == {(9, 1), (None, 1)}
 
 
 def counted(frame, key):
@@ -85,20 +108,26 @@ def test_an_unknown_type_is_counted_and_no_list_drops_it(spark, rows, frame):
 
 
 def test_frequency_keeps_null_camera(rows, frame):
-    ours = events.event_frequency_by_camera(rows).toPandas()
-    expected = frame.camera_id.value_counts(dropna=False)
-    assert ours.events.tolist() == sorted(expected, reverse=True)
-    assert ours[ours.camera_id.isna()].events.tolist() == [1]
+    expected = {}
+    for camera in frame.camera_id:
+        camera = None if pd.isna(camera) else int(camera)
+        expected[camera] = expected.get(camera, 0) + 1
+    ours = [(r.camera_id, r.events) for r in events.event_frequency_by_camera(rows).collect()]
+    assert dict(ours) == expected and expected[None] == 1
+    assert [n for _, n in ours] == sorted(expected.values(), reverse=True)
 
 
 def test_count_by_lane_and_rollup(rows, frame):
-    expected = frame.groupby(["event_type", "zone"])["camera_id"].count()
+    expected = {}
+    for kind, zone, camera in zip(frame.event_type, frame.zone, frame.camera_id):
+        if pd.notna(kind) and pd.notna(zone):
+            expected[kind, zone] = expected.get((kind, zone), 0) + pd.notna(camera)
     ours = indexed(events.event_count_by_lane(rows), "event_type", "zone").events
-    assert ours.to_dict() == expected.to_dict()
+    assert ours.to_dict() == expected
     rollup = events.event_lane_rollup(rows).toPandas()
     leaves = rollup[rollup.level == events.LEAF]
     types = rollup[rollup.level == events.EVENT_TYPE].set_index("event_type").events
-    assert leaves.set_index(["event_type", "zone"]).events.to_dict() == expected.to_dict()
+    assert leaves.set_index(["event_type", "zone"]).events.to_dict() == expected
     assert types.to_dict() == leaves.groupby("event_type").events.sum().to_dict()
     assert rollup[rollup.level == events.TOTAL].events.tolist() == [leaves.events.sum()]
 

@@ -1,4 +1,6 @@
-"""Gap filling and smoothing by hand and against pandas."""
+"""Gap filling and smoothing by hand, by loops over hours and, on made-up cells, against pandas."""
+
+from datetime import timedelta
 
 import pandas as pd
 import pytest
@@ -81,45 +83,76 @@ def event_rows(spark):
     ).cache()
 
 
-def test_hourly_confidence_equals_pandas(event_rows):
-    frame = event_rows.toPandas()
-    pivot = frame.pivot_table(
-        values="confidence", index="datetime", columns="event_type", aggfunc="mean"
-    ).asfreq("h").ffill()
-    ours = hourly.hourly_confidence(event_rows)
-    pd.testing.assert_frame_equal(
-        wide(ours, "event_type", "confidence"), pivot, check_freq=False, check_names=False,
-        check_index_type=False,
-    )
-    pd.testing.assert_frame_equal(
-        wide(ours, "event_type", "smoothed"), pivot.rolling(3).mean(), check_freq=False,
-        check_names=False, check_index_type=False,
-    )
+HOUR = timedelta(hours=1)
 
 
-@pytest.mark.parametrize("direction", ["IN", "OUT"])
-def test_hourly_counts_equal_pandas(event_rows, direction):
-    frame = event_rows.where(f"direction = '{direction}'").toPandas()
-    expected = pd.crosstab(frame.datetime, frame.event_type).asfreq("h").ffill()
-    ours = wide(hourly.hourly_event_count(event_rows, direction), "event_type", "events")
-    assert ours.index.tolist() == expected.index.tolist()
-    assert (ours.to_numpy() == expected.to_numpy()).all()
+def hours_of(cells):
+    """Every hour from the first to the last of the cells' (hour, key)."""
+    first, last = min(h for h, _ in cells), max(h for h, _ in cells)
+    return [first + k * HOUR for k in range(int((last - first) / HOUR) + 1)]
+
+
+def carried(cells, key, hours):
+    """The key's values in each hour, gaps with the one before; None before the first."""
+    found, latest = [], None
+    for hour in hours:
+        latest = cells.get((hour, key), latest)
+        found.append(latest)
+    return found
 
 
-def test_hourly_los_equals_pandas_for_many_series(spark):
+def test_hourly_confidence_by_loops(event_rows):
+    said = {}
+    for r in event_rows.collect():
+        if r.confidence is not None:
+            said.setdefault((r.datetime, r.event_type), []).append(r.confidence)
+    cells = {cell: sum(x) / len(x) for cell, x in said.items()}
+    hours = hours_of(cells)
+    ours = {(r.datetime, r.event_type): r for r in hourly.hourly_confidence(event_rows).collect()}
+    kinds = {kind for _, kind in cells}
+    assert set(ours) == {(hour, kind) for hour in hours for kind in kinds}
+    for kind in kinds:
+        values = carried(cells, kind, hours)
+        for at_, hour in enumerate(hours):
+            row, last = ours[hour, kind], values[max(0, at_ - 2) : at_ + 1]
+            assert row.confidence == (None if values[at_] is None else pytest.approx(values[at_]))
+            whole = len(last) == 3 and None not in last
+            assert row.smoothed == (pytest.approx(sum(last) / 3) if whole else None)
+
+
+@pytest.mark.parametrize("direction", ["IN", "OUT"])
+def test_hourly_counts_by_loops(event_rows, direction):
+    seen, cells = set(), {}
+    for r in event_rows.where(f"direction = '{direction}'").collect():
+        if r.event_type is not None:
+            seen.add(r.datetime)
+            cells[r.datetime, r.event_type] = cells.get((r.datetime, r.event_type), 0) + 1
+    kinds = {kind for _, kind in cells}
+    # In an hour with any row, a type without one counts 0; only whole gaps repeat the hour before.
+    cells |= {(hour, kind): 0 for hour in seen for kind in kinds if (hour, kind) not in cells}
+    hours = hours_of(cells)
+    expected = {(hour, kind): n for kind in kinds for hour, n in zip(hours, carried(cells, kind, hours))}
+    ours = hourly.hourly_event_count(event_rows, direction).collect()
+    assert {(r.datetime, r.event_type): r.events for r in ours} == expected and len(ours) == len(expected)
+
+
+def test_hourly_los_by_loops_for_many_series(spark):
     rows = facts.volume_facts(
         fixtures.volumes(spark, SMALL), fixtures.cameras(spark, SMALL), registry.WIDE
     ).cache()
-    frame = rows.toPandas()
     for keys in (["destination"], ["destination", "camera_id"]):
-        expected = frame.pivot_table(values="LOS", index="datetime", columns=keys).asfreq("h").ffill()
-        ours = hourly.hourly_los(rows, keys).toPandas()
-        ours = ours.pivot(index="datetime", columns=keys, values="LOS").sort_index()
-        assert ours.shape == expected.shape
-        pd.testing.assert_frame_equal(
-            ours, expected, check_freq=False, check_names=False, check_index_type=False,
-            check_column_type=False,
-        )
-    # Every hour of the span exactly once per series.
-    spans = ours.index[-1] - ours.index[0]
-    assert len(ours) == spans / pd.Timedelta(hours=1) + 1
+        levels = {}
+        for r in rows.collect():
+            if r.LOS is not None:
+                levels.setdefault((r.datetime, tuple(r[k] for k in keys)), []).append(r.LOS)
+        cells = {cell: sum(x) / len(x) for cell, x in levels.items()}
+        hours, names = hours_of(cells), {key for _, key in cells}
+        ours = hourly.hourly_los(rows, keys).collect()
+        assert len(ours) == len(hours) * len(names)
+        found = {(r.datetime, tuple(r[k] for k in keys)): r.LOS for r in ours}
+        for key in names:
+            values = carried(cells, key, hours)
+            assert [found[hour, key] for hour in hours] == [
+                None if x is None else pytest.approx(x) for x in values
+            ]
+    rows.unpersist()

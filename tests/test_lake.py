@@ -1,0 +1,143 @@
+"""Clustered files, text comparison by collation, and values that can't be read."""
+
+import glob
+
+import pyarrow.parquet as pq
+import pytest
+from conftest import SMALL, at
+from pyspark.sql import functions as F
+
+import __spark_entry__ as registry
+from compare import differences
+from lanescope import Slicer, sources
+from lanescope.operators import facts
+from lanescope.schema import CAMERAS, EVENTS, VOLUMES, collated
+from lanescope.sources import fixtures
+
+
+def plan_of(spark, table):
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return table._jdf.queryExecution().explainString(mode)
+
+
+def groups_read(path, days, cameras, hours):
+    """Row groups whose statistics allow one of the cameras and an hour, and all of them."""
+    kept = total = 0
+    for file in glob.glob(f"{path}/day=*/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
+        for number in range(meta.num_row_groups):
+            group = meta.row_group(number)
+            camera, time = (group.column(names.index(c)).statistics for c in ("camera_id", "time"))
+            total += 1
+            kept += (
+                any(f"day={day}" in file for day in days)
+                and any(camera.min <= c <= camera.max for c in cameras)
+                and any(time.min.hour <= h <= time.max.hour for h in hours)
+            )
+    return kept, total
+
+
+def test_clustered_lake_reads_few_row_groups(spark, tmp_path):
+    rows = spark.range(0, 400_000, 1, 4).selectExpr(
+        "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(id % 4 AS INT), "
+        "CAST(pmod(hash(id), 24) AS INT), CAST(id % 60 AS INT)) AS time",
+        "IF(id % 3 = 0, 7L, pmod(hash(id, 1), 200)) AS camera_id", "'IN' AS direction", "'z' AS zone",
+        "'error' AS event_type", "'car' AS item_type", "sha2(CAST(id AS STRING), 256) AS description",
+    )
+    plain, clustered = str(tmp_path / "plain"), str(tmp_path / "clustered")
+    sources.write_by_day(rows, plain)
+    sources.write_clustered(rows, clustered, row_group_bytes=1 << 18, page_rows=2000)
+    read = sources.read_table(spark, EVENTS, clustered, day_column="day")
+    assert differences(
+        read.groupBy("camera_id", "time").count().toPandas(), rows.groupBy("camera_id", "time").count().toPandas()
+    ) is None
+    days = ("2024-01-02", "2024-01-03")
+    kept, total = groups_read(clustered, days, [11, 150], [8])
+    assert total >= 32 and kept <= total / 8
+    # The same days written plainly rule out nothing but the days.
+    kept, total = groups_read(plain, days, [11, 150], [8])
+    assert kept == total / 2
+    typed = sources.read_table(spark, EVENTS, clustered, day_column="day", typed=True)
+    assert typed.dtypes == read.dtypes and typed.where("day = '2024-01-03'").count() == 100_000
+    # Spark reads what it reports: files of two days, pushed filters on camera and time.
+    slicer = Slicer(["R"], ["IN"], at(8, day=2), at(8, day=3), day_column="day")
+    plan = plan_of(spark, slicer.in_span(read).where(F.col("camera_id") == 11))
+    pushed = next(line for line in plan.splitlines() if line.startswith("PushedFilters"))
+    assert "EqualTo(camera_id,11)" in pushed and "GreaterThanOrEqual(time" in pushed
+    assert "PartitionFilters: [isnotnull(day" in plan
+    # One more write replaces its days only.
+    sources.write_clustered(rows.where("to_date(time) = '2024-01-02'").limit(10), clustered)
+    counts = {str(r.day): r["count"] for r in spark.read.parquet(clustered).groupBy("day").count().collect()}
+    assert counts["2024-01-02"] == 10 and len(counts) == 4
+
+
+def test_clustering_missing_values_and_no_rows(spark, tmp_path, volumes_of):
+    rows = volumes_of((at(1), None, "IN", "z", "car", 1, 1.0), (None, 3, "IN", "z", "car", 1, 1.0),
+                      (at(2, day=2), 4, "IN", "z", "car", 1, 1.0))
+    sources.write_clustered(rows, str(tmp_path / "few"))
+    assert spark.read.parquet(str(tmp_path / "few")).count() == 3
+    sources.write_clustered(rows.limit(0), str(tmp_path / "none"))
+
+
+def test_texts_compare_as_in_the_source(spark, tmp_path):
+    cameras = [(1, "EQ", "Jalan Ampang", 1.0, 2.0), (2, "EQ", "JALAN AMPANG", 1.0, 2.0), (3, "EQ", "Other", 1.0, 2.0)]
+    said = [
+        (at(1), 1, "IN", "b2t_1", "accident", "car", '"confidence":0.5'),
+        (at(1), 1, "in", "B2T_1", "Accident", "CAR", '"confidence":0.7'),
+        (at(1), 2, "out", "b2t_1", "accident", "car", '"confidence":0.5'),
+        (at(1), 3, "IN", "b2t_1", "accident", "car", '"confidence":0.5'),
+    ]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(cameras, CAMERAS).write.parquet(path + "c")
+    spark.createDataFrame(said, EVENTS).write.parquet(path + "e")
+    slicer = Slicer(["jalan ampang"], ["IN"], at(0), at(3))
+    tables = [sources.read_table(spark, s, path + p) for s, p in ((EVENTS, "e"), (CAMERAS, "c"))]
+    assert facts.event_facts(*tables, slicer).count() == 0
+    tables = [sources.read_table(spark, collated(s), path + p) for s, p in ((EVENTS, "e"), (CAMERAS, "c"))]
+    found = facts.event_facts(*tables, slicer)
+    row, = found.collect()
+    assert row.camera_id == 1 and row.confidence == pytest.approx(0.6)
+    assert row.address == "Jalan Ampang"
+    # The time range is pushed; the text comparison is not, since files compare bytes.
+    plan = plan_of(spark, found)
+    assert "GreaterThanOrEqual(time" in plan and "EqualTo(direction" not in plan and "In(direction" not in plan
+    # Under the plain schema nothing changes.
+    whole = facts.event_facts(fixtures.events(spark, SMALL), fixtures.cameras(spark, SMALL), registry.WIDE)
+    lower = Slicer([r.lower() for r in registry.WIDE.roads], ["in", "out"])
+    events, places = (
+        sources.conform(t(spark, SMALL), collated(s)) for t, s in ((fixtures.events, EVENTS), (fixtures.cameras, CAMERAS))
+    )
+    assert differences(facts.event_facts(events, places, lower).toPandas(), whole.toPandas()) is None
+
+
+def test_unreadable_values_are_kept_aside(spark, tmp_path):
+    path = str(tmp_path / "v.csv")
+    lines = [
+        "time,camera_id,destination,zone,vehicle_type,agg_count,avg_speed",
+        "2024-01-01 01:00:00,1,IN,b2t_1,car,2,50.5", "2024-01-01 01:00:00,one,IN,b2t_1,car,2,fast",
+        "yesterday,3,IN,b2t_1,car,,1", "2024-01-01 01:00:00,4,IN", "2024-01-01 01:00:00,5,OUT,z,car,3,1,more",
+    ]
+    with open(path, "w") as file:
+        file.write("\n".join(lines) + "\n")
+    table, aside, counts = sources.read_checked(spark, VOLUMES, path, "csv")
+    rows = {(r.camera_id, r.agg_count): r for r in table.collect()}
+    assert len(rows) == 5 and rows[None, 2].avg_speed is None and rows[1, 2].avg_speed == 50.5
+    assert rows[3, None].time is None and rows[4, None].zone is None
+    assert counts.get == {"rows": 5, "time": 1, "camera_id": 1, "agg_count": 0, "avg_speed": 1, "_line": 2}
+    kept = {tuple(r.unreadable): r for r in aside.collect()}
+    assert set(kept) == {("camera_id", "avg_speed"), ("time",), ("_line",)}
+    assert kept["camera_id", "avg_speed"].avg_speed == "fast" and kept["time",].time == "yesterday"
+    typed = spark.read.option("header", True).csv(path).select("camera_id", "avg_speed")
+    found = {r.column: (r.present, r.unreadable) for r in sources.unreadable_values(
+        typed, type(VOLUMES)([VOLUMES["camera_id"], VOLUMES["avg_speed"]])).collect()}
+    assert found == {"camera_id": (5, 1), "avg_speed": (4, 1)}
+    # A source in other types than declared, and one that fits.
+    other = str(tmp_path / "p")
+    spark.createDataFrame([("7", "EQ", "R", "x", 1.0)], "camera_id STRING, equipment_id STRING, address STRING, latitude STRING, longitude DOUBLE").write.parquet(other)
+    table, aside, counts = sources.read_checked(spark, CAMERAS, other)
+    assert table.first().camera_id == 7 and counts.get == {"rows": 1, "camera_id": 0, "latitude": 1}
+    assert [tuple(r.unreadable) for r in aside.collect()] == [("latitude",)]
+    table.write.parquet(other + "2")
+    table, aside, counts = sources.read_checked(spark, CAMERAS, other + "2")
+    assert table.count() == 1 and aside.count() == 0
