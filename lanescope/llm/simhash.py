@@ -8,7 +8,9 @@ would hold one in 256 of all fingerprints each.  Every pair in a list shares fiv
 that ``shared_bytes`` drops none there; pairs are verified bit by bit.  Only the distinct
 fingerprints are indexed, so copies cost nothing; a posting list leaves 24 bits open, so it has at
 most 2^24 entries, whatever the input.  Long lists are searched breadth first and yield one edge per
-member instead of all pairs.
+member instead of all pairs.  A list of more than ``CUBE_FROM`` members fills a good part of the cube
+of its 24 open bits, where least labels spread over links bit by bit: three steps along all 24 axes
+reach what differs in three bits, so that time and memory depend on the cube, not on the members.
 """
 
 from __future__ import annotations
@@ -31,10 +33,14 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 MIN_SHARED = 8 - MAX_BITS
+#: Bits of the bytes that members of a list don't share.
+OPEN_BITS = 8 * (8 - MIN_SHARED)
 #: Lists up to this length have all their pairs examined at once.
 SHORT_LIST = 32
-#: Members compared with one block of others at a time, in long lists.
-BLOCK = 256
+#: Members of either side compared at a time, in long lists.
+BLOCK, REST = 256, 1 << 14
+#: Lists beyond this length are labelled on the cube of their open bits.
+CUBE_FROM = 100_000
 #: Rows of the index per partition, about; only the number of partitions depends on it.
 ROWS_PER_PARTITION = 2_000_000
 
@@ -146,8 +152,10 @@ def _stars_of_long(values: np.ndarray):
             near = np.zeros(len(left), bool)
             for at in range(0, len(front), BLOCK):
                 rest = np.flatnonzero(~near)
-                apart = np.bitwise_count(left[rest, None] ^ front[None, at : at + BLOCK])
-                near[rest[(apart <= MAX_BITS).any(axis=1)]] = True
+                for some in range(0, len(rest), REST):
+                    part = rest[some : some + REST]
+                    apart = np.bitwise_count(left[part, None] ^ front[None, at : at + BLOCK])
+                    near[part[(apart <= MAX_BITS).any(axis=1)]] = True
             front, left = left[near], left[~near]
             members.append(front)
             roots.append(np.full(len(front), root))
@@ -155,6 +163,42 @@ def _stars_of_long(values: np.ndarray):
     return (np.concatenate(members), np.concatenate(roots)) if members else (empty, empty)
 
 
+def _dilated(labels: np.ndarray) -> np.ndarray:
+    """The least label among each corner of the cube and those one bit away."""
+    found = labels.copy()
+    for bit in range(OPEN_BITS):
+        old, new = (x.reshape(-1, 2, 1 << bit) for x in (labels, found))
+        for side in (0, 1):
+            np.minimum(new[:, side], old[:, 1 - side], out=new[:, side])
+    return found
+
+
+def _stars_on_cube(values: np.ndarray, number: int):
+    """What ``_stars_of_long`` gives, for members of a list of set ``number``, in a bounded time."""
+    open_bytes = [p for p in range(8) if p not in list(combinations(range(8), MIN_SHARED))[number]]
+    corner = np.zeros(len(values), np.int64)
+    for place, p in enumerate(open_bytes):
+        corner |= ((values >> np.uint64(8 * p)) & np.uint64(0xFF)).astype(np.int64) << 8 * place
+    labels = np.full(1 << OPEN_BITS, 0xFFFFFFFF, np.uint32)
+    root = np.arange(len(values), dtype=np.uint32)
+    while True:
+        labels[corner] = root
+        near = labels
+        for _ in range(MAX_BITS):
+            near = _dilated(near)
+        least = near[corner]
+        while True:  # labels are members, whose own labels are at least as small
+            further = least[least]
+            if (further == least).all():
+                break
+            least = further
+        if (least == root).all():
+            break
+        root = least
+    moved = np.flatnonzero(root != np.arange(len(values)))
+    return values[moved], values[root[moved]]
+
+
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of sorted postings; the last list of a batch waits for what follows."""
     held = None
@@ -182,7 +226,10 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = (size > 1) & (size <= SHORT_LIST)
         found = [_pairs_of_short(values, begin[short], size[short])]
         for at, n in zip(begin[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
-            found.append(_stars_of_long(values[at : at + n]))
+            members = values[at : at + n]
+            found.append(
+                _stars_of_long(members) if n <= CUBE_FROM else _stars_on_cube(members, int(sets[at]))
+            )
         a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 

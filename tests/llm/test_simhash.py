@@ -88,30 +88,56 @@ def test_every_linked_pair_shares_a_posting_list():
         assert simhash.shared_bytes(np.array([a]), np.array([b]))[0] >= simhash.MIN_SHARED
 
 
+def classes(values, pairs):
+    parent = {v: v for v in values.tolist()}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in zip(*(x.tolist() for x in pairs)):
+        parent[root(a)] = root(b)
+    groups = {}
+    for v in values.tolist():
+        groups.setdefault(root(v), set()).add(v)
+    return sorted(map(sorted, groups.values()))
+
+
 @pytest.mark.parametrize("size", [40, 700])
 def test_long_lists_are_linked_like_short_ones(size):
     random = np.random.default_rng(size)
     base = random.integers(0, 2**64, dtype=np.uint64) & ~np.uint64(0xFFFFFF)
     values = np.unique(base | random.integers(0, 2**12, size, dtype=np.uint64))
     short = simhash._pairs_of_short(values, np.array([0]), np.array([len(values)]))
-    long = simhash._stars_of_long(values)
-
-    def classes(pairs):
-        parent = {v: v for v in values.tolist()}
-
-        def root(v):
-            while parent[v] != v:
-                v = parent[v]
-            return v
-
-        for a, b in zip(*(x.tolist() for x in pairs)):
-            parent[root(a)] = root(b)
-        groups = {}
-        for v in values.tolist():
-            groups.setdefault(root(v), set()).add(v)
-        return sorted(map(sorted, groups.values()))
-
-    assert classes(short) == classes(long)
+    assert classes(values, short) == classes(values, simhash._stars_of_long(values))
+
+
+@pytest.mark.parametrize("number, span", [(0, 12), (23, 14), (55, 24)])
+def test_the_cube_links_like_all_pairs(number, span):
+    """Members spread over ``span`` of the open bits: from one component to hundreds."""
+    random = np.random.default_rng(number)
+    shared = simhash._masks()[number] & (2**64 - 1)
+    opened = [b for b in range(64) if not shared >> b & 1]
+    assert len(opened) == simhash.OPEN_BITS
+    chosen = random.choice(opened, span, replace=False).astype(np.uint64)
+    base = np.uint64(int(random.integers(0, 2**64, dtype=np.uint64)) & shared)
+    values = np.unique([
+        base | np.bitwise_or.reduce(random.integers(0, 2, span, dtype=np.uint64) << chosen) for _ in range(900)
+    ])
+    short = simhash._pairs_of_short(values, np.array([0]), np.array([len(values)]))
+    cube = simhash._stars_on_cube(values, number)
+    assert classes(values, short) == classes(values, cube)
+    assert (cube[1] < cube[0]).all() and len(set(cube[0].tolist())) == len(cube[0])
+
+
+def test_a_hot_list_of_a_million(tmp_path):
+    """Its time and memory are those of the cube."""
+    random = np.random.default_rng(2)
+    values = np.unique(random.integers(0, 1 << 24, 1_000_000).astype(np.uint64) << np.uint64(40))
+    member, root = simhash._stars_on_cube(values, 0)
+    # At this density everything is connected but for a few corners at most.
+    assert len(member) > 0.99 * len(values) and len(np.unique(root)) < 100
 
 
 def test_chain_and_hub_components(spark):
