@@ -56,8 +56,7 @@ def los_heat_map_scale(heat_map: DataFrame) -> DataFrame:
         F.max("LOS").alias("max_LOS"),
         *bracket_of("LOS"),
     )
-    medians = median_within(heat_map, scale, ["destination"], "LOS", "median_LOS")
-    return scale.drop("_bracket", "_n").join(medians, "destination")
+    return median_within(heat_map, scale, ["destination"], "LOS", "median_LOS")
 
 
 def hourly_vehicle_count(facts: DataFrame) -> DataFrame:

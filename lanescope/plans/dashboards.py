@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
 from lanescope.operators import autoregression, events, facts, forecast, hourly, volume
-from lanescope.session import shared_root
+from lanescope.session import settle
 from lanescope.slicer import Slicer
 from lanescope.sources.export import write_csv
 
@@ -23,20 +22,6 @@ EXPORTS = {
 }
 
 
-def settle(table: DataFrame, scratch: str | None = None) -> DataFrame:
-    """Compute a table that several results share once: write it as Parquet and read it back.
-
-    A lost executor costs nothing that is already there, and later results still read only their
-    columns and rows. ``scratch`` is a folder on storage that the whole cluster shares, by default
-    that of ``shared_root``.
-    """
-    spark = table.sparkSession
-    scratch = scratch or shared_root(spark)
-    path = f"{scratch.rstrip('/')}/settled-{uuid.uuid4().hex}"
-    table.write.parquet(path)
-    return spark.read.schema(table.schema).parquet(path)
-
-
 def event_dashboard(
     detections: DataFrame, cameras: DataFrame, slicer: Slicer, scratch: str | None = None
 ) -> Results:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanescope.operators import state
-from lanescope.plans.dashboards import settle
+from lanescope.session import settle
 
 DAY = "day"
 
