@@ -158,3 +158,22 @@ def score(backtest: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.sqrt(F.avg(error * error)).alias("rmse"),
         )
     )
+
+
+def score_observed(backtest: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``score`` with the percentage error over hours with traffic only, and the number left out.
+
+    An hour with an observed LOS of 0 has no percentage error; ``score`` divides by a floor there, so
+    that one such hour of a quiet camera outweighs all others.  ``mape`` is NULL where every hour is 0.
+    """
+    seen, error = F.col("test_data") != 0, F.col("test_data") - F.col("prediction")
+    return (
+        backtest.where(F.col("test_data").isNotNull())
+        .groupBy(*keys)
+        .agg(
+            F.count("*").alias("n_test"),
+            F.count_if(~seen).alias("n_zero"),
+            F.avg(F.when(seen, F.abs(error) / F.abs("test_data"))).alias("mape"),
+            F.sqrt(F.avg(error * error)).alias("rmse"),
+        )
+    )

@@ -463,6 +463,12 @@ SELECT destination, count(*) AS n_test,
        sqrt(avg((test_data - prediction) * (test_data - prediction))) AS rmse
 FROM backtest WHERE test_data IS NOT NULL GROUP BY destination"""
 
+SCORES_OBSERVED = """
+SELECT destination, count(*) AS n_test, count(*) FILTER (test_data = 0) AS n_zero,
+       avg(abs(test_data - prediction) / abs(test_data)) FILTER (test_data <> 0) AS mape,
+       sqrt(avg((test_data - prediction) * (test_data - prediction))) AS rmse
+FROM backtest WHERE test_data IS NOT NULL GROUP BY destination"""
+
 
 def _by_camera(sql: str) -> str:
     """The same for each camera and destination: the text after the facts with another key."""
@@ -604,6 +610,10 @@ SELECT datetime, destination, "LOS", CAST({band} AS INT) AS band FROM hourly""",
         "los_scores": f"{BACKTEST} {SCORES}",
         "camera_los_model": _by_camera(f"{MODEL} SELECT * FROM model"),
         "camera_los_forecast": _by_camera(FORECAST),
+        "los_scores_observed": f"{BACKTEST} {SCORES_OBSERVED}",
+        "camera_los_scores": _by_camera(f"""{BACKTEST}, scores AS ({SCORES_OBSERVED})
+SELECT destination, n_test, n_zero, round_even(mape, 6) + CAST(0 AS DOUBLE) AS mape,
+       round_even(rmse, 6) + CAST(0 AS DOUBLE) AS rmse FROM scores"""),
         "camera_los_rmse": _by_camera(f"""{BACKTEST}, scores AS ({SCORES})
 SELECT destination, n_test, round_even(rmse, 6) AS rmse FROM scores"""),
         "los_stationarity": f"{STATIONARITY} SELECT * FROM choice",

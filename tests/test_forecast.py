@@ -242,3 +242,15 @@ def test_long_horizons_are_computed_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(ar, "CHUNK", 25)
     parts = ar.forecast_ar(split, model, KEYS, 9).orderBy("k", "datetime").toPandas()
     pd.testing.assert_frame_equal(whole, parts)
+
+
+def test_scores_over_observed_hours(spark):
+    rows = spark.createDataFrame(
+        [("a", 2.0, 3.0), ("a", 0.0, 5.0), ("a", -4.0, -3.0), ("a", None, 9.0), ("b", 0.0, 1.0)],
+        "k STRING, test_data DOUBLE, prediction DOUBLE",
+    )
+    scores = {r.k: r for r in forecast.score_observed(rows, ["k"]).collect()}
+    assert (scores["a"].n_test, scores["a"].n_zero, scores["a"].mape) == (3, 1, 0.375)
+    assert scores["a"].rmse == pytest.approx(3.0)
+    assert (scores["b"].n_test, scores["b"].n_zero, scores["b"].mape) == (1, 1, None)
+    assert forecast.score_observed(rows.limit(0), ["k"]).collect() == []
