@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanescope.llm import arrays
+from lanescope.llm.shared import written
 
 WINDOW = 10
 #: Positions in a shard are 21 bits of the sorted numbers, as are both ranks.
@@ -164,8 +165,11 @@ def _ranked(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known, ranks[places]
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[np.ndarray, list]]]:
-    """The benchmark's items in blocks of bounded size: word hashes, and the ids that have them."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[np.ndarray, list]], bool]]:
+    """The benchmark's items in blocks of bounded size: word hashes, and the ids that have them.
+
+    One block is read at a time, when it is asked for; the flag says whether it is the last one.
+    """
     items = (
         benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
         .groupBy("text")
@@ -174,21 +178,17 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[np.ndarray, list]]]:
     size = items.agg(F.sum(F.octet_length("text") + 8 * F.size("ids")).alias("n")).first().n or 0
     # A word and the sign after it have two bytes at least.
     n_blocks = size // (2 * BLOCK_WORDS) + 1
-    found = []
     for number in range(n_blocks):
         mine = items.where(F.pmod(F.xxhash64("text"), F.lit(n_blocks)) == number)
         table = mine.toArrow().combine_chunks()
-        if not table.num_rows:
-            continue
-        hashes, first = words_of(table.column("text").combine_chunks())
         block: dict[bytes, tuple] = {}
-        for row, ids in enumerate(table.column("ids").to_pylist()):
-            own = hashes[first[row] : first[row + 1]]
-            if len(own):
-                block.setdefault(own.tobytes(), (own, []))[1].extend(x["item_id"] for x in ids)
-        if block:
-            found.append(list(block.values()))
-    return found or [[]]
+        if table.num_rows:
+            hashes, first = words_of(table.column("text").combine_chunks())
+            for row, ids in enumerate(table.column("ids").to_pylist()):
+                own = hashes[first[row] : first[row + 1]]
+                if len(own):
+                    block.setdefault(own.tobytes(), (own, []))[1].extend(x["item_id"] for x in ids)
+        yield list(block.values()), number == n_blocks - 1
 
 
 def _parts(block: list, window: int) -> tuple[np.ndarray, ...]:
@@ -277,12 +277,20 @@ def _order(match) -> tuple:
 
 
 def _searched(docs: DataFrame, benchmark: DataFrame, window: int, text: str) -> DataFrame:
+    """``docs`` with the matches of all blocks, one pass for each.
+
+    A pass is written before the next block is read, and its broadcast goes with it, so that driver and
+    executors hold one block; the last pass (in general the only one) stays lazy.
+    """
     frame = docs
-    for block in _blocks(benchmark):
+    for block, last in _blocks(benchmark):
         schema = T.StructType([f for f in frame.schema.fields if not f.name.startswith(STATE)])
         schema = schema.add(STATE, MATCHES).add(f"{STATE}_words", T.LongType())
         shared = docs.sparkSession.sparkContext.broadcast(block)
         frame = frame.mapInArrow(_search(shared, window, text), schema)
+        if not last:
+            frame = written(frame)
+            shared.destroy()
     return frame
 
 

@@ -77,10 +77,33 @@ def test_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(D, "SHARD_WORDS", 90)
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    assert len(D._blocks(benchmark)) > 1
+    assert sum(1 for _ in D._blocks(benchmark)) > 1
     assert digest(D.matches(frame, benchmark)) == plain(docs, items)
 
 
+def test_a_pass_is_written_before_the_next_block_is_read(spark, monkeypatch):
+    docs, items = cases()
+    monkeypatch.setattr(D, "BLOCK_WORDS", 40)
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    steps, blocks, write = [], D._blocks, D.written
+
+    def seen_blocks(table):
+        for block, last in blocks(table):
+            steps.append("block")
+            yield block, last
+
+    def seen_write(table):
+        steps.append("written")
+        return write(table)
+
+    monkeypatch.setattr(D, "_blocks", seen_blocks)
+    monkeypatch.setattr(D, "written", seen_write)
+    assert digest(D.matches(frame, benchmark)) == plain(docs, items)
+    n = sum(1 for _ in blocks(benchmark))
+    assert n > 1 and steps == ["block", "written"] * (n - 1) + ["block"]
+
+
 def test_longest_matches_and_places(spark):
     item = " ".join(f"w{i}" for i in range(30))
     text = "a b " + " ".join(f"w{i}" for i in range(5, 25)) + " c"
