@@ -32,6 +32,8 @@ from lanescope.llm import arrays
 #: A worker forgets the pieces it knows beyond so many, or so many ids of them.
 CACHE_ENTRIES, CACHE_IDS = 3_000_000, 16_000_000
 END_ID = 2
+#: Bytes of text per file, at most about, where ids are evenly spread; files grow in number instead.
+RANGE_BYTES = 128_000_000
 
 #: How files are written; each may be changed by the caller.
 LAYOUT = {
@@ -171,6 +173,14 @@ def _encode(path: str, end: int):
     return run
 
 
+def _ranges(rows: DataFrame) -> int | None:
+    """Ranges of RANGE_BYTES of text; None where the session's own number of partitions is enough."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = -(-size // RANGE_BYTES)
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges if ranges > own else None
+
+
 def write(
     docs: DataFrame, vocabulary: str, path: str, text: str = "text", id_column: str = "doc_id",
     end: int = END_ID, layout: dict[str, str] | None = None,
@@ -181,11 +191,13 @@ def write(
     counts as empty, and an empty text has the end id alone.  An empty table writes a folder
     without rows.  Other columns are left out.  ``vocabulary`` names the file, read by every worker.
     """
+    order = ("doc_id", "__tie")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = rows.withColumn("__tie", F.xxhash64("text"))
+    ranges = _ranges(rows)
     ordered = (
-        docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .withColumn("__tie", F.xxhash64("text"))
-        .repartitionByRange("doc_id", "__tie")
-        .sortWithinPartitions("doc_id", "__tie")
+        (rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order))
+        .sortWithinPartitions(*order)
         .select("doc_id", "text")
     )
     encoded = ordered.mapInArrow(_encode(vocabulary, end), SCHEMA)

@@ -32,6 +32,17 @@ def expected(library, docs):
     return rows
 
 
+def test_more_ranges_give_the_same(spark, library, monkeypatch):
+    docs = sorted((r.doc_id, r.text) for r in queries.table(spark, SMALL, "documents").collect())
+    given = queries.table(spark, SMALL, "documents")
+    monkeypatch.setattr(token_files, "RANGE_BYTES", 20_000)
+    ranges = token_files._ranges(given.select("text"))
+    assert ranges > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = sorted(map(tuple, queries.op8_token_files(spark, SMALL).collect()))
+    assert found == expected(library, docs)
+    assert token_files._ranges(given.select("text").limit(0)) is None
+
+
 def test_query_equals_the_library(spark, library):
     docs = sorted((r.doc_id, r.text) for r in queries.table(spark, SMALL, "documents").collect())
     found = sorted(map(tuple, queries.op8_token_files(spark, SMALL).collect()))
