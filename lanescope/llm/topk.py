@@ -186,6 +186,7 @@ def top_k(
         ids, lists = asked.column("id").combine_chunks(), asked.column("v").combine_chunks()
         shared = spark.sparkContext.broadcast(list(_matrices(ids, lists)))
         found = written(candidates.mapInArrow(_search(shared, k), FOUND))
+        shared.destroy()
         count = found.agg(F.max("list")).first()[0]
         results.append(_merged(found, (count or 0) + 1, k))
     merged = results[0]
