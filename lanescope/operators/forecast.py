@@ -1,8 +1,7 @@
 """Level-of-service forecasts for many hourly series at once.
 
 A series is what shares the key columns; it is regular, one row per hour (``fill_hours``). Split,
-fit, backtest and forecast all shuffle by the keys alone, and no series passes through Python:
-Spark reduces each to its cross-products, and only these few numbers per series are solved there.
+fit, backtest and forecast all shuffle by the keys alone.
 
 Two model families share one life cycle:
 
@@ -52,7 +51,8 @@ def fit_ar1(split: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     ``phi`` and what depends on it are NULL where the line cannot be used.
     """
-    before = F.lag("y").over(Window.partitionBy(*keys).orderBy("position"))
+    # By time, as ``split_series`` numbers them: the hours are sorted once.
+    before = F.lag("y").over(Window.partitionBy(*keys).orderBy(TIME))
     fitted = (
         split.where(F.col("split") == TRAIN)
         .withColumn("x", before)

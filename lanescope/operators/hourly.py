@@ -15,6 +15,8 @@ from lanescope.functions import hour_label, hour_text, hours_between, present
 from lanescope.schema import DEFAULT_WINDOW_DAYS
 
 HOUR = "datetime"
+#: Series in a task where their number is known; a year of hours of each is 1.8 million rows.
+SERIES_PER_TASK = 200
 
 
 def hour_calendar(first: Column | str, last: Column | str, bounds: DataFrame) -> DataFrame:
@@ -44,18 +46,25 @@ def _span(observed: DataFrame) -> Column:
     return observed.agg(bounds.alias("span")).scalar()
 
 
-def fill_hours(observed: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def fill_hours(
+    observed: DataFrame, keys: Sequence[str], value: str, parts: int | None = None
+) -> DataFrame:
     """Regular series of ``value``, a missing hour taking the last value before it.
 
     ``observed`` holds at most one row per key and hour. Each observation is spread over the hours
     up to the next one of its series, so no hour grid has to be joined. Hours before a series'
     first observation are NULL. ``gap`` marks the hours without an observation of their own.
+
+    ``parts`` is the number of tasks that the series are dealt to, for tables of many series
+    (``parts_for``): Spark sizes tasks by the observations, which are far fewer than the hours they
+    are spread over, and later windows sort those. By default Spark chooses.
     """
     observed = observed.where(F.col(value).isNotNull())
+    dealt = observed if parts is None else observed.repartition(parts, *keys)
     series = Window.partitionBy(*keys).orderBy(HOUR)
     starts = F.when(F.col("_before").isNull(), F.col("_span.first")).otherwise(F.col(HOUR))
     ends = F.coalesce(F.col("_after") - F.expr("INTERVAL 1 HOUR"), F.col("_span.last"))
-    spread = observed.select(
+    spread = dealt.select(
         *keys, HOUR, value, F.lag(HOUR).over(series).alias("_before"),
         F.lead(HOUR).over(series).alias("_after"), _span(observed).alias("_span"),
     ).select(
@@ -69,6 +78,11 @@ def fill_hours(observed: DataFrame, keys: Sequence[str], value: str) -> DataFram
     )
 
 
+def parts_for(n_series: int) -> int:
+    """Tasks for so many series, ``SERIES_PER_TASK`` in each, about."""
+    return 1 + n_series // SERIES_PER_TASK
+
+
 def fill_counts(counts: DataFrame, key: str, value: str) -> DataFrame:
     """Regular series of counts: 0 in an observed hour, the previous hour's count in a gap.
 
@@ -123,7 +137,9 @@ def hourly_event_count(facts: DataFrame, direction: str) -> DataFrame:
     return fill_counts(counts, "event_type", "events")
 
 
-def hourly_los(facts: DataFrame, keys: Sequence[str] = ("destination",)) -> DataFrame:
+def hourly_los(
+    facts: DataFrame, keys: Sequence[str] = ("destination",), parts: int | None = None
+) -> DataFrame:
     """Hourly mean level of service per key, gap-filled; by default one series per destination."""
     means = present(facts, *keys).groupBy(HOUR, *keys).agg(F.avg("LOS").alias("LOS"))
-    return fill_hours(means, keys, "LOS")
+    return fill_hours(means, keys, "LOS", parts)
