@@ -6,9 +6,9 @@ least squares, the order with the least AIC. All orders are fitted on the same r
 ``stationarity.choose_d``. Moving-average terms are in ``arma``, whose models the same backtest and
 forecast serve.
 
-Spark computes the lags and sums the cross-products per series; every order's normal equations are
-a corner of that one small matrix. Python sees one row per series when it solves them, and many
-series per call, so the arithmetic is vectorised over series.
+Spark groups and orders the hours; a task sees one series after the other, one number an hour, and
+reduces it to the cross-products of its lags; every order's normal equations are a corner of that one
+small matrix. They are solved for many series per call, so that arithmetic is vectorised over series.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -34,7 +36,7 @@ from lanescope.operators.forecast import (
     _backtest_columns,
     _forecast_columns,
 )
-from lanescope.operators.stationarity import MAX_D, differenced
+from lanescope.operators.stationarity import MAX_D, differenced, in_order
 from lanescope.schema import NORMAL_90
 
 MAX_P = 5
@@ -58,35 +60,58 @@ def training_rows(split: DataFrame, keys: Sequence[str], d: int | DataFrame) ->
 
 def _moments(split: DataFrame, keys: Sequence[str], max_p: int, d: int | DataFrame) -> DataFrame:
     """Per series: cross-products of (1, lag 1 ... lag max_p, value) and the last training values."""
-    by_key = Window.partitionBy(*keys)
-    in_time = by_key.orderBy("position")
-    rows = training_rows(split, keys, d)
-    # Centred values keep the cross-products well conditioned.
-    rows = rows.withColumns({
-        "center": F.avg("z").over(by_key), "n_train": F.count("*").over(by_key).cast("int"),
-    }).withColumn("z", F.col("z") - F.col("center"))
-    rows = rows.withColumns({f"lag_{k}": F.lag("z", k).over(in_time) for k in range(1, max_p + 1)})
-    complete = (F.col(f"lag_{max_p}") if max_p else F.col("z")).isNotNull()
-    vector = [F.lit(1.0), *[F.col(f"lag_{k}") for k in range(1, max_p + 1)], F.col("z")]
-    sums = [
-        F.coalesce(F.sum(F.when(complete, vector[i] * vector[j])), F.lit(0.0))
-        for i in range(len(vector)) for j in range(i, len(vector))
-    ]
-    recent = F.col("position") > F.col("n_train") - (max_p + F.col("d"))
-    return rows.groupBy(*keys).agg(
-        F.first("d").alias("d"),
-        F.first("n_train").alias("n_train"),
-        F.first(F.col("hours") - F.col("n_train")).alias("n_test"),
-        F.max_by("y", "position").alias("last_y"),
-        F.max(TIME).alias("last_time"),
-        F.first("center").alias("center"),
-        F.array(*sums).alias("moments"),
-        # At most max_p + d values, oldest first.
-        F.transform(
-            F.sort_array(F.collect_list(F.when(recent, F.struct("position", "y")))),
-            lambda at: at["y"],
-        ).alias("tail"),
-    )
+    keys = list(keys)
+    rows = split.where(F.col("split") == TRAIN).select(*keys, "position", "y", "hours", TIME)
+    schema = StructType([
+        *rows.select(*keys).schema,
+        *[StructField(name, IntegerType()) for name in ("d", "n_train", "n_test")],
+        StructField("last_y", DoubleType()), StructField("last_time", TimestampNTZType()),
+        StructField("center", DoubleType()), StructField("moments", ArrayType(DoubleType())),
+        StructField("tail", ArrayType(DoubleType())),
+    ])
+
+    def row(hours: pa.Table, found: list[tuple]) -> pa.Table:
+        named = [hours.column(k).combine_chunks().slice(0, len(found)) for k in keys]
+        columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(MOMENTS)]
+        return pa.table([*named, *columns], names=schema.names)
+
+    def reduced(hours: pa.Table, level: int) -> pa.Table:
+        y = in_order(hours, "y")
+        n_test = hours.column("hours")[0].as_py() - len(y)
+        center, moments = _products(np.diff(y, n=level), max_p)
+        last_time = pc.max(hours.column(TIME)).as_py()
+        tail = y[max(0, len(y) - max_p - level) :]
+        return row(hours, [(level, len(y), n_test, y[-1], last_time, center, moments, tail)])
+
+    if isinstance(d, int):
+        return rows.groupBy(*keys).applyInArrow(lambda hours: reduced(hours, d), schema)
+
+    def chosen(hours: pa.Table, levels: pa.Table) -> pa.Table:
+        if not hours.num_rows or not levels.num_rows:
+            return row(hours, [])
+        return reduced(hours, levels.column("d")[0].as_py())
+
+    levels = d.select(*keys, "d").dropna()
+    return rows.groupBy(*keys).cogroup(levels.groupBy(*keys)).applyInArrow(chosen, schema)
+
+
+MOMENTS = (
+    pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.timestamp("us"), pa.float64(),
+    pa.list_(pa.float64()), pa.list_(pa.float64()),
+)
+
+
+def _products(z: np.ndarray, max_p: int) -> tuple[float | None, np.ndarray]:
+    """Mean of ``z`` and the products, summed, of (1, its lags, itself) in rows with all lags."""
+    n, size = len(z) - max_p, max_p + 2
+    if not len(z):
+        return None, np.zeros(size * (size + 1) // 2)
+    center = z.mean()
+    z = z - center  # centred values keep the cross-products well conditioned
+    vector = np.ones((size, max(n, 0)))
+    for k in range(max_p + 1) if n > 0 else ():
+        vector[-1 if k == 0 else k] = z[max_p - k : len(z) - k]
+    return float(center), (vector @ vector.T)[np.triu_indices(size)]
 
 
 def fit_ar(

@@ -4,16 +4,19 @@ The test is that of Kwiatkowski, Phillips, Schmidt and Shin: the sum of squared
 the deviations from the mean, over a long-run variance with Bartlett weights on ``L`` lags, where
 ``L`` grows with the root of the series' length.  Weighted autocovariances are not summed lag by lag:
 their sum equals that of the squared moving sums over ``L + 1`` hours, which are differences of two
-cumulative sums.  So each hour sends its cumulative sum to two places, whatever ``L`` is; windows
-and sums are Spark's, and no series passes through Python.
+cumulative sums.  Spark groups and orders the hours; a task sees one series after the other, one number
+an hour, and sums all levels of differencing in one pass of numpy over it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lanescope.operators.forecast import TRAIN
 from lanescope.schema import KPSS_5
@@ -40,46 +43,45 @@ def level_statistics(split: DataFrame, keys: Sequence[str], max_d: int = MAX_D)
     than two values.
     """
     keys = list(keys)
-    rows = split.where(F.col("split") == TRAIN).select(*keys, "position", F.col("y").alias("z"))
-    rows = rows.withColumns({f"w_{d}": differenced(keys, d) for d in range(max_d + 1)})
-    each = F.explode(F.array(*[
-        F.struct(F.lit(d).alias("d"), F.col(f"w_{d}").alias("w")) for d in range(max_d + 1)
-    ]))
-    series = rows.select(*keys, "position", each.alias("of")).select(*keys, "position", "of.*").where(
-        F.col("w").isNotNull()
-    )
-    level = Window.partitionBy(*keys, "d")
-    upto = level.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    sums = (
-        series.withColumns({"e": F.col("w") - F.avg("w").over(level), "n": F.count("*").over(level)})
-        .withColumns({
-            "c": F.sum("e").over(upto), "lags": F.floor(3 * F.sqrt("n") / 13).cast("int"),
-        })
-    )
-    # A moving sum that ends behind the series is 0 less the cumulative sum before it.
-    places = F.explode(F.array(
-        F.struct(F.col("position").alias("at"), F.col("c").alias("part"), F.col("c").alias("own"),
-                 F.col("e").alias("apart"), F.col("w").alias("w")),
-        F.struct((F.col("position") + F.col("lags") + 1).alias("at"), (-F.col("c")).alias("part"),
-                 F.lit(0.0).alias("own"), F.lit(0.0).alias("apart"), F.lit(0.0).alias("w")),
-    ))
-    moving = (
-        sums.select(*keys, "d", "n", "lags", places.alias("to")).select(*keys, "d", "n", "lags", "to.*")
-        .groupBy(*keys, "d", "at")
-        .agg(
-            F.max("n").alias("n"), F.max("lags").alias("lags"), F.sum("part").alias("moving"),
-            F.sum(F.col("own") * F.col("own")).alias("squares"),
-            F.sum(F.col("apart") * F.col("apart")).alias("spread"),
-            F.sum(F.col("w") * F.col("w")).alias("size"),
-        )
-    )
-    square = F.sum(F.col("moving") * F.col("moving"))
-    statistic = F.sum("squares") * (F.max("lags") + 1) / (F.max("n") * square)
-    constant = F.sum("spread") <= FLAT * F.sum("size")
-    return moving.groupBy(*keys, "d").agg(
-        F.max("n").cast("int").alias("n"), F.max("lags").alias("lags"),
-        F.when(~constant & (F.max("n") > 1), statistic).alias("statistic"),
-    )
+    rows = split.where(F.col("split") == TRAIN).select(*keys, "position", "y")
+    schema = StructType([
+        *rows.select(*keys).schema, StructField("d", IntegerType()), StructField("n", IntegerType()),
+        StructField("lags", IntegerType()), StructField("statistic", DoubleType()),
+    ])
+
+    def levels(hours: pa.Table) -> pa.Table:
+        y = in_order(hours, "y")
+        found = [(d, *_level(np.diff(y, n=d))) for d in range(max_d + 1) if len(y) > d]
+        columns = [pa.array(list(x), t) for x, t in zip(zip(*found), LEVEL)]
+        named = [hours.column(k).combine_chunks().take(pa.array([0] * len(found))) for k in keys]
+        return pa.table([*named, *columns], names=schema.names)
+
+    return rows.groupBy(*keys).applyInArrow(levels, schema)
+
+
+LEVEL = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+
+
+def in_order(hours: pa.Table, name: str) -> np.ndarray:
+    """A column of one series as numbers, in the order of its positions."""
+    position, values = (hours.column(c).to_numpy() for c in ("position", name))
+    if (position[1:] < position[:-1]).any():
+        values = values[np.argsort(position, kind="stable")]
+    return values.astype(float)
+
+
+def _level(w: np.ndarray) -> tuple[int, int, float | None]:
+    """Number of values, lags and the statistic of one series."""
+    n = len(w)
+    e = w - w.mean()
+    c = np.cumsum(e)
+    lags = int(3 * np.sqrt(n) / 13)
+    if n < 2 or e @ e <= FLAT * (w @ w):
+        return n, lags, None
+    # Moving sums that end behind the series too: 0 less the cumulative sum before it.
+    moving = np.concatenate([c, np.zeros(lags + 1)])
+    moving[lags + 1 :] -= c
+    return n, lags, float((c @ c) * (lags + 1) / (n * (moving @ moving)))
 
 
 def choose_d(split: DataFrame, keys: Sequence[str], max_d: int = MAX_D) -> DataFrame:
