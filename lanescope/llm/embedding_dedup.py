@@ -9,7 +9,8 @@ components, in matrix products.  A pair counts in the first table that it shares
 of a vector are summed without listing pairs; a bucket leaves as a forest, one edge per member.
 
 Copies are one vector with a count.  Buckets beyond ``TILE`` members are cut into tiles by a hash, and
-every two tiles are compared in a task of their own: exact at any size.
+every two tiles are compared in a task of their own: exact at any size.  Tables that grow with the vectors
+are joined by sort and merge, as a broadcast of them would pass through the driver.
 """
 
 from __future__ import annotations
@@ -156,7 +157,7 @@ def _masks() -> np.ndarray:
 
 def fit(distinct: DataFrame, threshold: float) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """A model for each vector length, from the SAMPLE vectors with the least digests."""
-    chosen = distinct.select("key", "unit").orderBy("key").limit(SAMPLE).toArrow()
+    chosen = _least(distinct.select("key", "unit")).orderBy("key").limit(SAMPLE).toArrow()
     units = chosen.column("unit").combine_chunks()
     sizes = np.array([len(u) // 8 for u in units.to_pylist()], int)
     return {
@@ -166,6 +167,19 @@ def fit(distinct: DataFrame, threshold: float) -> dict[int, tuple[np.ndarray, np
     }
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """Rows that hold those with the SAMPLE least digests, about twice as many in all.
+
+    Every task would send SAMPLE rows of its own to the one that merges them.  Digests are spread
+    evenly, so that twice the share lacks SAMPLE rows only by a failure of SHA-256.
+    """
+    n = rows.count()
+    if n <= 4 * SAMPLE:
+        return rows
+    bound = (2 * SAMPLE * (1 << 64) // n).to_bytes(8, "big")
+    return rows.where(F.col("key") < F.lit(bytearray(bound)))
+
+
 def coded(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, width, code) of every distinct vector."""
     models = fit(distinct, threshold)
@@ -339,7 +353,7 @@ def links(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         _near_codes,
         "set short, part long, ta int, tb int, tile int, node long, code long",
     )
-    whole = near.join(distinct.select("node", "copies", "unit"), "node")
+    whole = near.join(distinct.select("node", "copies", "unit").hint("merge"), "node")
     return _sorted_by_bucket(whole).mapInArrow(
         _rerank(threshold), "node long, links long, root long"
     )
@@ -374,11 +388,11 @@ def near_duplicates(
     sums = found.groupBy("node").agg(F.sum("links").alias("links"))
     nodes = (
         distinct.select("key", "node", "copies", "least")
-        .join(sums, "node", "left").join(roots, "node", "left")
+        .join(sums.hint("merge"), "node", "left").join(roots.hint("merge"), "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
     )
     least = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = nodes.join(least, "component").select(
+    classes = nodes.join(least.hint("merge"), "component").select(
         "key", "component_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
@@ -387,7 +401,7 @@ def near_duplicates(
     salted = F.coalesce("key", F.unhex(F.lpad(F.hex(F.xxhash64("id")), 16, "0")))
     return (
         rows.select("id", "key", salted.alias("at"))
-        .join(classes.withColumnRenamed("key", "at"), "at", "left")
+        .join(classes.withColumnRenamed("key", "at").hint("merge"), "at", "left")
         .select(
             F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
             component.alias("component_id"),
