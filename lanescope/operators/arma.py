@@ -6,8 +6,8 @@
 lags and the lags of those shocks gives first coefficients.  Gauss-Newton steps on the sum of squared
 shocks follow, each halved until it helps; shocks before the first hour with all lags are zero.
 
-A shock depends on the shock before it, which no window expresses.  So this is the one part of the
-library where the training hours of a series, one number an hour, travel to Python as an array; all
+A shock depends on the shock before it, which no window expresses.  So the training hours of a
+series, one number an hour, travel to Python as an array; all
 series of a batch with all their orders advance through time together.  ``backtest_ar`` and
 ``forecast_ar`` serve these models too.
 """

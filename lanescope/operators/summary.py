@@ -2,7 +2,7 @@
 
 A second pass over the training hours computes every residual from lag windows; Spark sums its
 powers and its products with the residuals before it.  The cross-products of the regressors, summed
-as for the fit, are inverted for the standard errors, which is all that Python sees.
+as for the fit, are inverted for the standard errors.
 """
 
 from __future__ import annotations
