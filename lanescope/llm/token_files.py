@@ -214,7 +214,8 @@ def read(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     names = columns or ("doc_id", "start", "n_tokens", "ids")
-    return stored.join(files, "file").withColumn(
+    # One row of two numbers for each file: the lists of ids stay where they are.
+    return stored.join(F.broadcast(files), "file").withColumn(
         "start", F.col("start_in_file") + F.col("before")
     ).select(*names)
 

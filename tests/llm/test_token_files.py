@@ -90,3 +90,19 @@ def test_encodings_page_index_and_selective_reads(spark):
     few = token_files.read(spark, path).where("doc_id between 10 and 12")
     assert "GreaterThanOrEqual(doc_id,10)" in few._jdf.queryExecution().executedPlan().toString()
     assert few.count() == 3
+
+
+def test_reading_back_moves_no_tokens(spark):
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string")
+    path = shared_folder(spark)
+    token_files.write(docs, PATH, path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large files
+    try:
+        frame = token_files.read(spark, path)
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        rows = frame.orderBy("doc_id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])
