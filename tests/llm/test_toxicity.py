@@ -99,3 +99,26 @@ def test_a_repeated_id_gives_one_row_to_the_sample(spark):
     labels = spark.createDataFrame([(ids[0], 1), (ids[1], 0)], "doc_id long, toxic int")
     rows = toxicity.sample(docs, labels)
     assert sorted(zip(rows.column("doc_id").to_pylist(), rows.column("toxic").to_pylist())) == sorted([(ids[0], 1), (ids[1], 0)])
+
+
+def test_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    """Words that stand only in texts beyond any sample count, and so do the thresholds' texts."""
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "MAX_OTHER", 5)
+    monkeypatch.setattr(toxicity, "LEAST_TEXTS", 100)
+    rng = random.Random(3)
+    good = [f"{a}{b}" for a in "bdfgklm" for b in ("ar", "eno", "ilu", "oto", "usk")]
+    rows = []
+    for i in range(1500):
+        text = rng.choices(good, k=20)
+        if i % 3 == 0:
+            text[rng.randrange(20)] = f"{'xzqw'[i // 3 % 4]}vile"
+        rows.append((i, " ".join(text), "xx", int(i % 3 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    docs, labels = frame.drop("toxic"), frame.select("doc_id", "toxic")
+    assert toxicity._shards(docs, labels) > 5
+    model = toxicity.fit(docs, labels)
+    right = [(r.score >= 0.7) == (r.doc_id % 3 == 0) for r in toxicity.scored(docs, model).collect()]
+    assert np.mean(right) > 0.97 and set(model.thresholds) == {"xx"}
+    again = toxicity.fit(docs.repartition(7), labels.repartition(3))
+    assert np.array_equal(again.table, model.table) and again.thresholds == model.thresholds
