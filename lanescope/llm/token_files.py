@@ -9,7 +9,8 @@ file within the whole is the sum over the files before, one row each.
 
 Encoding splits a slice of texts at ASCII white space, which this kind of vocabulary drops, and
 encodes each different piece once with the tokenizers library; a bounded cache of packed arrays keeps
-what a worker has encoded.  Pieces are told apart by 64-bit hashes.
+what a worker has encoded.  Pieces are told apart by 64-bit hashes.  Workers live on from task to task;
+after each batch they give back to the system what numpy and Arrow have freed, which is most of it.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lanescope.llm import arrays
+from lanescope.llm.shared import release
 
 #: A worker forgets the pieces it knows beyond so many, or so many ids of them.
 CACHE_ENTRIES, CACHE_IDS = 3_000_000, 16_000_000
@@ -152,12 +154,20 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; memory that is free goes back to the system after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own, start, file = encoder(path), 0, TaskContext.get().partitionId()
-        for batch in arrays.pieces(batches, "text"):
+        for batch in arrays.pieces(_released(batches), "text"):
             ids, first = own.encode(*arrays.text_bytes(batch.column("text")), end)
             rows = batch.num_rows
             yield pa.RecordBatch.from_arrays(
@@ -221,9 +231,9 @@ def read(spark: SparkSession, path: str, columns: tuple[str, ...] | None = None)
 
 
 def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _released(batches):
         ids = batch.column("ids")
-        values = ids.flatten().to_numpy().astype("<u4")
+        values = ids.flatten().to_numpy().astype("<i4", copy=False)  # the same bytes as unsigned
         at = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
         at = at.tolist()
         digests = [zlib.crc32(values[a:b]) for a, b in zip(at, at[1:])]

@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
-from lanescope.llm import queries, token_files
+from lanescope.llm import arrays, queries, token_files
 from lanescope.llm.shared import shared_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -106,3 +107,20 @@ def test_reading_back_moves_no_tokens(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert [r.start for r in rows] == list(np.cumsum([0, *(r.n_tokens for r in rows)])[:-1])
+
+
+def test_workers_give_back_memory_after_each_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(token_files, "release", lambda: calls.append(1))
+    ids = pa.array([[1, 2], [3], [-1]], pa.list_(pa.int32()))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1, 2, 3]), pa.array([0, 2, 3]), ids], names=["doc_id", "start", "ids"]
+    )
+    rows = [r for b in token_files._crc(iter([batch, batch])) for r in b.to_pylist()]
+    assert len(calls) == 2
+    assert [r["ids_crc32"] for r in rows[:3]] == [
+        zlib.crc32(np.array(x, "<u4").tobytes()) for x in ([1, 2], [3], [0xFFFFFFFF])
+    ]
+    slices = list(arrays.pieces(token_files._released(iter([
+        pa.RecordBatch.from_arrays([pa.array(["a b", None, ""])], names=["text"])] * 3)), "text"))
+    assert len(slices) == 3 and len(calls) == 5
