@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lanescope.llm import arrays, pretokens
+from lanescope.llm.shared import released
 
 CACHE_ENTRIES = 120_000
 #: Longer pre-tokens are merged with a heap instead of repeated passes.
@@ -164,7 +165,7 @@ def _apply(docs: DataFrame, path: str, text: str, keep, added: T.StructType, mak
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in arrays.pieces(batches, text):
+        for batch in arrays.pieces(released(batches), text):
             body, offsets = arrays.text_bytes(batch.column(text))
             ids, first = own.encode(body, offsets)
             columns = [batch.column(c) for c in names] + make(own, ids, first)
@@ -210,7 +211,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", to: str = "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in released(batches):
             column = batch.column(ids)
             sizes = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             first = np.concatenate([[0], np.cumsum(sizes)])

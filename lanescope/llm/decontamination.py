@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanescope.llm import arrays
-from lanescope.llm.shared import written
+from lanescope.llm.shared import released, written
 
 WINDOW = 10
 #: Positions in a shard are 21 bits of the sorted numbers, as are both ranks.
@@ -236,7 +236,7 @@ def _search(block_of: Broadcast, window: int, column: str):
         block = block_of.value
         test = _parts(block, window)
         depth = int(test[3].max()) if len(test[3]) else 1
-        for batch in arrays.pieces(batches, column, 6_000_000):
+        for batch in arrays.pieces(released(batches), column, 6_000_000):
             hashes, first = words_of(batch.column(column))
             spans = [[] for _ in range(batch.num_rows)]
             counts = np.diff(first)

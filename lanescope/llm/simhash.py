@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from lanescope.llm import arrays
 from lanescope.llm.components import components
-from lanescope.llm.shared import written
+from lanescope.llm.shared import released, written
 
 SHINGLE = 3
 SEED = 42
@@ -104,7 +104,7 @@ def fingerprinted(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     schema = T.StructType([frame.schema[c] for c in keep]).add(FINGERPRINT, T.LongType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.pieces(batches, text):
+        for batch in arrays.pieces(released(batches), text):
             found = fingerprints(*arrays.text_bytes(batch.column(text)))
             columns = [batch.column(c) for c in keep] + [pa.array(found.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

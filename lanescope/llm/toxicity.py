@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanescope.llm import arrays
-from lanescope.llm.shared import release, written
+from lanescope.llm.shared import release, released, written
 
 TABLE, WIDTH, FILTERS, SPANS = 1 << 17, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -529,7 +529,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in arrays.pieces(batches, text):
+        for batch in arrays.pieces(released(batches), text):
             found = shared.value.scores(*arrays.text_bytes(batch.column(text)))
             columns = [batch.column(c) for c in names] + [pa.array(found, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
